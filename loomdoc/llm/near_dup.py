@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.llm.bloom import SEGMENT_BITS, Filter, build
 from loomdoc.llm.common import map_rows
 from loomdoc.llm.components import components
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, runs, seeded
@@ -41,6 +42,8 @@ from loomdoc.session import written
 SIZE, ROWS = 240, 6
 #: Pivots of a cluster.
 PIVOTS = 4
+#: Bits for each candidate, and most bits, of the filter that keeps other texts out of the shuffle (32 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
 #: Members and shingles of a block in verification.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,6 +108,26 @@ def sketched(docs: DataFrame, k: int, size: int, rows: int, id_col: str, text_co
     return map_rows(docs.select(F.col(id_col), F.col(text_col).cast("binary")), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, bands array<long>", start, block=400)
 
 
+def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """doc_id, t and cluster of the documents in clusters.
+
+    A Bloom filter of their ids goes ahead of the join, so other texts are not
+    shuffled; a filter too full for many ids lets more texts through, no fewer.
+    """
+    segments = min(FILTER_MOST // SEGMENT_BITS, -(-clusters.count() * FILTER_BITS // SEGMENT_BITS) or 1)
+    bits = build(clusters.selectExpr("xxhash64(node) AS key", "1 AS level"), segments)
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(bits))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = sent.value.levels(b.column(0).to_numpy(), 1) > 0
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(held)) for c in b.columns[1:]], names=["doc_id", "t"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sifted = docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", "t").mapInArrow(sift, f"doc_id {id_type}, t binary")
+    return sifted.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").select("doc_id", "t", "cluster")
+
+
 def _sets(docs: DataFrame, k: int, id_type: str) -> DataFrame:
     """rep, cluster, n and the sorted set as bytes, of (doc_id, text, cluster) rows."""
 
@@ -199,7 +222,7 @@ def _rest_links(sets: DataFrame, labels: DataFrame, percent: int, id_type: str)
         a, b = zip(*seen.values()) if seen else ((), ())
         return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
 
-    return right.unionByName(left).groupBy("cluster", "l", "r").applyInArrow(verify, f"a {id_type}, b {id_type}")
+    return right.unionByName(left).repartition("cluster", "l", "r").groupBy("cluster", "l", "r").applyInArrow(verify, f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = SIZE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +234,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     buckets = spread.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "low")
     stars = spread.join(buckets, "band").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     clusters = written(components(stars), "clusters")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").select("doc_id", "t", "cluster")
-    sets = written(_sets(texts, k, id_type), "sets")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    sets = written(_sets(_candidates(texts, clusters), k, id_type), "sets")
     first = written(_pivot_links(sets, percent, id_type), "links")
     labels = components(first)
     rest = written(_rest_links(sets, labels, percent, id_type), "links")
-    final = written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
+    final = labels if rest.isEmpty() else written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
     who = sk.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep")
     found = who.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
