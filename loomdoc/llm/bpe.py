@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from loomdoc.llm.common import map_rows
 
 #: Characters up to which an unsplit stretch goes to the library's merge loop as it is.
 LEAF = 512
+#: Leaves of one stretch that are encoded at a time.
+THREADS = 2
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 4
 
@@ -52,6 +56,14 @@ class Bpe:
             self.bytes_of[i] = token.encode()
         self.digits = [str(i) for i in range(size)]
 
+    def one(self, piece: str | bytes) -> list[int]:
+        """The library's merges on one stretch, without its pattern."""
+        return self.codec._encode_single_piece(piece) if piece else []
+
+    @cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(THREADS)
+
     def encode(self, text: str) -> list[int]:
         if not self.long.search(text):
             return self.codec.encode(text, allowed_special=self.specials, disallowed_special=()) if any(s in text for s in self.has_special) else self.codec.encode_ordinary(text)
@@ -61,7 +73,7 @@ class Bpe:
                 ids += self.codec.encode(part, allowed_special="all")
             else:
                 for piece in self.pieces.findall(part):
-                    ids += self.whole(piece) if len(piece) > self.leaf else self.codec.encode_single_piece(piece)
+                    ids += self.whole(piece) if len(piece) > self.leaf else self.one(piece)
         return ids
 
     def whole(self, piece: str) -> list[int]:
@@ -70,7 +82,7 @@ class Bpe:
         while len(piece) / n > self.leaf:
             parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
             n *= 2
-        level = [self.codec.encode_single_piece(p) if p else [] for p in parts]
+        level = list(self.pool.map(self.one, parts))
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
         return level[0]
@@ -79,7 +91,7 @@ class Bpe:
         width = WINDOW
         while left and right:
             a, b = left[-width:], right[:width]
-            new = self.codec.encode_single_piece(b"".join(self.bytes_of[i] for i in [*a, *b]))
+            new = self.one(b"".join(self.bytes_of[i] for i in [*a, *b]))
             left_agrees = new[0] == a[0] or len(a) == len(left)
             right_agrees = new[-1] == b[-1] or len(b) == len(right)
             if left_agrees and right_agrees:
