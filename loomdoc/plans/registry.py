@@ -1,15 +1,340 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators and their SQL.
+
+The supplied documents hold no Markdown, so queries on Markdown operators build
+it from the documents' own lines with one expression in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomdoc.functions import mdx, signals, tables, text
+from loomdoc.operators import blocks, chunking, conversation, elements, reports, retrieval, sections, validate
+from loomdoc.plans.oracles import SQL
+from loomdoc.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines: doc_id, pos (from 0), line."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+
+
+@query
+def clean_text(spark, sf_dir):
+    t = F.concat(F.lit("![i](u) see [docs](x) <b>ok</b>\n**Applies to:** all\n  "), F.col("text"), F.lit("\n\n\n\n end "))
+    return _docs(spark, sf_dir).select("doc_id", text.clean_markdown(t).alias("cleaned"))
+
+
+@query
+def strip_html_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("plain"))
+
+
+@query
+def keywords(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.keywords("text"), ",").alias("keywords"))
+
+
+@query
+def token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.tokens("text").cast("long").alias("tokens"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    s = text.sentences("text")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(s).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query
+def chunk_ids(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.chunk_id(F.col("source"), F.lit("Overview"), F.lit(None).cast("string"), F.col("text")).alias("chunk_id"))
+
+
+@query
+def point_uuid(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.point_id(F.col("source"), F.lit("Overview"), F.lit(""), F.lit("text_block"), F.lit(0), F.col("text")).alias("id"))
+
+
+def _packed(spark, sf_dir):
+    """Sentence groups of at most 300 tokens as chunks."""
+    packs = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.pack(text.sentences("text"), 300)).alias("seq", "text"))
+    return packs.select("doc_id", F.col("seq").cast("long").alias("seq"), "text", text.tokens("text").alias("tokens"), F.lit("text_split").alias("subtype"), F.array(F.lit("paragraph")).alias("content_types"))
+
+
+@query
+def chunk_score_rank(spark, sf_dir):
+    v = validate.validate(_packed(spark, sf_dir))
+    return v.select("doc_id", "seq", F.col("tokens").cast("long").alias("tokens"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def dedupe_first200(spark, sf_dir):
+    w = Window.partitionBy(validate.dedupe_key(F.col("text"))).orderBy("doc_id")
+    return _docs(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id")
+
+
+@query
+def noise_filter(spark, sf_dir):
+    sub = F.lit("text_block")
+    t = text.strip("line")
+    return _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), validate.is_noise(t, sub).alias("noise"), validate.right_size(text.tokens(t), sub).alias("right_size"))
+
+
+@query
+def signal_flags(spark, sf_dir):
+    df = _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), signals.signals("line").alias("s"))
+    return df.select("doc_id", "pos", *(F.col(f"s.{k}").alias(k) for k in signals.FLAGS))
+
+
+def _classified(spark, sf_dir):
+    """Lines as blocks: every fifth one code, every third one a list item."""
+    df = _lines(spark, sf_dir).withColumn("type", F.when(F.col("pos") % 5 == 4, "code").when(F.col("pos") % 3 == 1, "list").otherwise("text")).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat(F.lit("Run: check "), F.col("line"))).when(F.col("pos") % 5 == 4, F.concat(F.lit("x = "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    df = df.withColumn("signals", signals.signals("line"))
+    where = signals.contexts(F.lit("Overview"), F.lit("Overview"), F.lit(""))
+    return df.withColumn("f", signals.function_of(F.col("type"), F.col("line"), F.col("signals"), F.col("pos") % 2 == 0, where)).select("doc_id", "pos", "type", F.col("line").alias("text"), "signals", "f.function", "f.confidence")
+
+
+@query
+def function_class(spark, sf_dir):
+    return _classified(spark, sf_dir).groupBy("type", "function", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def follows_edges(spark, sf_dir):
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.lag("pos").over(w).cast("long").alias("follows")).where("follows IS NOT NULL")
+
+
+@query
+def nearest_instruction(spark, sf_dir):
+    b = _classified(spark, sf_dir).select("doc_id", F.lit(0).alias("section_index"), F.col("pos").alias("block_index"), F.concat(F.lit("b"), F.col("pos").cast("string")).alias("id"), "type", "text", "signals", "function", *(F.lit("Overview").alias(c) for c in ("heading", "context")), F.lit("").alias("local_context"))
+    return blocks.link(b).where("type = 'code'").select("doc_id", F.col("block_index").cast("long").alias("pos"), F.col("_command.id").alias("command"), F.col("_label.id").alias("label"), F.col("_example.id").alias("example"))
+
+
+@query
+def heading_stack(spark, sf_dir):
+    e = _lines(spark, sf_dir).select("doc_id", "pos", F.lit("heading").alias("type"), (F.col("pos") * 7 % 3 + F.length("line") % 3 + 1).cast("int").alias("level"), F.substring("line", 1, 12).alias("text"))
+    return sections.with_paths(e).select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join("path", " > ").alias("path"))
+
+
+def _rows(spark, sf_dir):
+    """Each document as a table: words of its first lines as cells."""
+    return _docs(spark, sf_dir).select("doc_id", tables.parse(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.slice(F.split(F.trim(x), " +"), 1, 4))).alias("t")).where("t IS NOT NULL")
+
+
+@query
+def table_profile(spark, sf_dir):
+    df = _rows(spark, sf_dir).select("doc_id", "t.shape", tables.profile(F.col("t")).alias("p"))
+    return df.select("doc_id", *(F.col(f"shape.{c}").cast("long").alias(c) for c in ("target_cols", "min_cols", "max_cols")), *(F.col(f"p.{c}").cast("long").alias(c) for c in ("row_count", "column_count", "filled_cell_count", "anomaly_count")), F.col("p.cell_density").cast("double").alias("cell_density"))
+
+
+@query
+def table_row_text(spark, sf_dir):
+    cells = F.array("c_name", F.trim("c_mktsegment"), F.lit(""), F.col("c_custkey").cast("string"))
+    names = tables.headers(F.array(F.lit("Name"), F.lit("Market Segment"), F.lit(""), F.lit("name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", tables.row_text(names, cells).alias("row_text"))
+
+
+def _queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    found = retrieval.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(found, "query_id", [F.desc("score"), F.col("id")], 12).select("query_id", F.col("id").alias("doc_id"), "score", F.round("scaled", 5).alias("scaled"), F.col("rank").cast("long").alias("rank"))
+
+
+def _nearest(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return retrieval.cosine_top_k(e, e.where("vec_id % 100 = 0"), 12).withColumn("score", F.round("score", 6))
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def minmax_normalise(spark, sf_dir):
+    return _nearest(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round(retrieval.min_max("score", "query_id"), 4).alias("scaled"))
+
+
+def _two_lists(spark, sf_dir):
+    """Two ranked lists of lines for every document with lines: the first by length, the second by place."""
+    lines = _lines(spark, sf_dir).where("pos < 6").select(F.col("doc_id").alias("query_id"), F.concat(F.substring("line", 1, 30), F.lit("#"), F.col("pos").cast("string")).alias("text"), "pos", F.when(F.col("pos") % 3 == 0, "command").when(F.col("pos") % 3 == 1, "flag").otherwise("text").alias("type"))
+    w = Window.partitionBy("query_id").orderBy("pos")
+    lines = lines.withColumn("rank", F.row_number().over(w))
+    vector = lines.where("pos % 2 = 0").select("query_id", "text", "type", (1.0 / (F.col("pos") + 1)).alias("score"), "rank")
+    keyword = lines.where("pos < 4").select("query_id", "text", "type", (0.25 * (4 - F.col("pos"))).cast("double").alias("score"), "rank")
+    return vector, keyword
+
+
+@query
+def weighted_fusion(spark, sf_dir):
+    return retrieval.weighted_fusion(*_two_lists(spark, sf_dir)).select("query_id", "text", "type", F.round("score", 6).alias("score"))
+
+
+@query
+def rerank_boost(spark, sf_dir):
+    r = _lines(spark, sf_dir).where("pos < 8").select(F.col("doc_id").alias("query_id"), F.lit("list the options in that before").alias("query"), F.col("line").alias("text"), F.lit("Overview").alias("heading"), F.when(F.col("pos") % 2 == 0, "command").otherwise("flag").alias("type"), F.lit(0.5).alias("score"), F.col("pos").alias("rank"))
+    return retrieval.rerank(r).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("boost"), 6).alias("boost"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query
+def retrieve_plan(spark, sf_dir):
+    vector, keyword = _two_lists(spark, sf_dir)
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    return retrieval.retrieve(vector, keyword, asked).select("query_id", "text", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "fallback")
+
+
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations")
+
+
+@query
+def memory_window(spark, sf_dir):
+    return conversation.memory(_messages(spark, sf_dir), 2).select("conv_id", "turn", "role", "text")
+
+
+@query
+def long_term_trigger(spark, sf_dir):
+    return conversation.summary_due(_messages(spark, sf_dir)).select("conv_id", "turn", F.col("held").cast("long").alias("held"), "due")
+
+
+@query
+def conversation_state(spark, sf_dir):
+    return conversation.states(_messages(spark, sf_dir))
+
+
+@query
+def last_answer(spark, sf_dir):
+    return conversation.last_answers(_messages(spark, sf_dir))
+
+
+@query
+def format_history(spark, sf_dir):
+    return conversation.formatted(_messages(spark, sf_dir))
+
+
+@query
+def enrich_query(spark, sf_dir):
+    return conversation.enriched(_messages(spark, sf_dir))
+
+
+@query
+def context_blocks(spark, sf_dir):
+    r = _lines(spark, sf_dir).where("pos < 3").select(F.col("doc_id").alias("query_id"), F.lit("text").alias("type"), F.lit("Overview").alias("heading"), F.lit("root").alias("context"), (0.5 + F.col("pos") / 4).alias("score"), F.col("line").alias("text"), F.col("pos").alias("rank"))
+    return conversation.context_blocks(r)
+
+
+@query
+def vector_validity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 8)).when(F.col("vec_id") % 7 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("vector"), F.concat(F.lit("row "), F.col("vec_id").cast("string")).alias("text"))
+    return validate.valid_pairs(e.where("vec_id % 7 <> 1 OR vec_id > 10"), "vec_id").select("vec_id")
+
+
+@query
+def drop_report(spark, sf_dir):
+    c = _packed(spark, sf_dir)
+    return validate.drop_report(c, validate.validate(c))
+
+
+@query
+def token_stats(spark, sf_dir):
+    df = _docs(spark, sf_dir).withColumn("tokens", text.tokens("text"))
+    return reports.token_stats(df, "source").select("source", *(F.col(c).cast("long").alias(c) for c in ("n", "avg", "median", "min", "max")))
+
+
+@query
+def subtype_counts(spark, sf_dir):
+    c = _lines(spark, sf_dir).select(F.explode(chunking.text_pieces(F.col("line"))).alias("p")).select("p.subtype")
+    return reports.counts(c, "subtype")
+
+
+def _markdown(spark, sf_dir):
+    """Documents as Markdown: headings, lists, tables, code and components of their own lines."""
+    d = _docs(spark, sf_dir)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    made = F.transform(
+        lines,
+        lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("\n## "), F.substring(x, 1, 30), F.lit("\n")))
+        .when(i % 7 == 2, F.concat(F.lit("\n- Run "), x, F.lit("\n- "), x))
+        .when(i % 7 == 3, F.concat(F.lit("\n```sh\nnpm run --flag "), F.substring(x, 1, 20), F.lit("\n```\n")))
+        .when(i % 7 == 4, F.concat(F.lit("\n| Name | Value |\n|---|---|\n| a | "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" |\n")))
+        .when(i % 7 == 5, F.concat(F.lit('\n<Card title="'), F.regexp_replace(F.substring(x, 1, 10), '["<>]', ""), F.lit('" href={a/b} />\n')))
+        .otherwise(x),
+    )
+    return d.select("doc_id", F.array_join(made, "\n").alias("raw"))
+
+
+def _sections(spark, sf_dir):
+    d = _markdown(spark, sf_dir).select("doc_id", text.clean_markdown(mdx.normalize_mdx("raw")).alias("text"))
+    return sections.sections(elements.elements(d))
+
+
+@query
+def mdx_normalise(spark, sf_dir):
+    return _markdown(spark, sf_dir).select("doc_id", F.md5(mdx.normalize_mdx("raw")).alias("digest"))
+
+
+@query
+def element_counts(spark, sf_dir):
+    d = _markdown(spark, sf_dir).select("doc_id", text.clean_markdown(mdx.normalize_mdx("raw")).alias("text"))
+    return reports.counts(elements.elements(d), "type")
+
+
+@query
+def section_metadata(spark, sf_dir):
+    return _sections(spark, sf_dir).select("doc_id", "section_id", "heading", "context", "section_type", "content_role", "command_context", F.array_join("keywords", ",").alias("keywords"), F.md5("text").alias("digest"), "block_count")
+
+
+@query
+def block_relations(spark, sf_dir):
+    return blocks.relations(blocks.link(blocks.blocks(_sections(spark, sf_dir))))
+
+
+@query
+def block_functions(spark, sf_dir):
+    return reports.counts(blocks.blocks(_sections(spark, sf_dir)), "type", "function")
+
+
+@query
+def orphan_code(spark, sf_dir):
+    return reports.orphan_code(blocks.link(blocks.blocks(_sections(spark, sf_dir))))
+
+
+@query
+def chunk_documents(spark, sf_dir):
+    v = validate.validate(chunking.chunks(_sections(spark, sf_dir)))
+    return v.select("doc_id", "seq", "chunk_id", "subtype", "tokens", "score", "rank", F.md5("text").alias("digest"))
+
+
+@query
+def chunk_overlap(spark, sf_dir):
+    v = chunking.with_overlap(validate.validate(chunking.chunks(_sections(spark, sf_dir))))
+    return v.select("doc_id", "rank", "overlap", "tokens", F.md5("text").alias("digest"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
