@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,6 +30,19 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows, by a hash of the keys; the same rows however the table is dealt out.
+
+    Of a larger table a hash filter first leaves about three times as many, so
+    no task sends its own `most` rows to the one that picks.
+    """
+    n = df.count()
+    h = F.xxhash64(*keys)
+    part = 1 << 30
+    few = df.where(F.pmod(h, F.lit(part)) < math.ceil(3 * most / n * part)) if n > 3 * most else df
+    return few.orderBy(h, *keys).limit(most)
+
+
 def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[list[list]], Iterator[Sequence]]], block: int = 2_000) -> DataFrame:
     """mapInArrow by rows: start() runs once in a task and gives rows-in to rows-out, called with the columns of up to `block` rows.
 

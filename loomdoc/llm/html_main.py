@@ -26,7 +26,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import map_rows
+from loomdoc.llm.common import bounded_sample, map_rows
 
 #: Most labelled pages that the weights are fitted on.
 LABELLED_PAGES = 2_000
@@ -187,7 +187,8 @@ def label_counts(html: str) -> Counter[tuple[str, bool]]:
 
 def fit(pages: DataFrame, html_col: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights from at most `most` pages that mark their article, chosen by a hash of the page."""
-    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(html_col).orderBy(F.xxhash64(html_col)).limit(most)
+    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html_col).alias("html"))
+    labelled = bounded_sample(labelled, ["html"], most)
 
     def start():
         def step(columns: list[list]) -> Iterator[tuple]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.bloom import K_FIRST, K_NEXT, SEGMENT_BITS, Filter, build
-from loomdoc.llm.common import remainder
+from loomdoc.llm.common import bounded_sample, remainder
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, seeded
 from loomdoc.session import written
 
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
     level = level_of(F.col("n"))
     kept = counted.where(F.when(odd, level >= floor["pair"]).otherwise(level >= floor["word"])).select("key", (level - F.when(odd, floor["pair"]).otherwise(floor["word"]) + 1).cast("int").alias("level"))
     model = Model(build(kept, segments), SEGMENT_BITS, floor, means, rare, n, v)
-    tuning = train.where("id IS NOT NULL").select("id", "t").orderBy(F.xxhash64("id"), "id").limit(TUNING).select("t")
+    tuning = bounded_sample(train.where("id IS NOT NULL"), ["id"], TUNING).select("t")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 

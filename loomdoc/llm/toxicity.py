@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import map_rows, remainder
+from loomdoc.llm.common import bounded_sample, map_rows, remainder
 
 #: Most labelled documents that the model is fitted on.
 LABELLED = 20_000
@@ -120,7 +120,7 @@ class Weigher(dict):
 def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """Distinct texts with labels, not held out, at most `most`, by a hash of the id; with their tokens' texts."""
     y = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, FOLDS) > 0)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
-    y = y.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    y = bounded_sample(y, ["label_id"], most)
     picked = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("sample_text")).join(F.broadcast(y), "label_id")  # at most `most` rows
     return picked.where("sample_text is not null").groupBy(F.xxhash64("sample_text").alias("h"), "sample_text").agg(F.max("y").alias("y")).select("sample_text", (F.col("y") > 0).alias("y"))
 
