@@ -5,13 +5,18 @@ normalised (A-Z in lower case, runs of anything but letters a-z and digits one
 space); their sets of 2-word shingles A and B score 2|A and B| / (|A| + |B|). A
 template of b bigrams can reach `least` only on a unit of a bigrams with
 b * least / (2 - least) <= a <= b * (2 - least) / least, so templates outside
-those bounds are never compared. Of a unit's templates the best counts; of equal
+those bounds are never compared. Such a unit shares at least b * least / (2 - least)
+bigrams with the template, so it holds one of any set of the template's bigrams
+that leaves out fewer than that; texts and lines without one of these keys stop
+before their bigrams are built. Of a unit's templates the best counts; of equal
 ones the first by name. Null, empty and wordless texts have no units; one-word
 units have no bigrams. Whole texts are read; all in one projection, no shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +58,22 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
+def keys(grams: list[str], least: float) -> list[str]:
+    """The longest bigrams of a template, so many that a unit without any of them can't reach `least`."""
+    needed = max(1, math.ceil(len(grams) * least / (2 - least) - 1e-9))
+    return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1]
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hits (unit: line number from 1 or 0 for the whole text, licence, dice), n_license_units, licenses."""
     table = [(name, grams) for name, t in templates if (grams := bigrams(t))]
     low, high = min(len(g) for _, g in table) * least / (2 - least), max(len(g) for _, g in table) * (2 - least) / least
     clean = F.regexp_replace(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9\n]+", " ")
-    units = docs.select(F.col(id_col).alias("doc_id"), F.split(clean, "\n").alias("lines"), F.translate(clean, "\n", " ").alias("whole"))
+    pattern = "\\b(?:" + "|".join(sorted({g.replace(" ", "[ \n]+") for _, grams in table for g in keys(grams, least)})) + ")\\b"
+    units = docs.select(F.col(id_col).alias("doc_id"), clean.alias("clean"))
+    texts = F.when(F.col("clean").rlike(pattern), F.concat(F.array(F.translate("clean", "\n", " ")), F.split("clean", "\n"))).otherwise(F.array().cast("array<string>"))
     split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    # blanks bound the words from above, so most units stop here
-    worth = units.select("doc_id", F.filter(F.transform(F.concat(F.array("whole"), F.col("lines")), lambda x, k: F.struct(k.alias("unit"), F.when(F.length(x) >= 2 * low, split(x)).alias("w"))), lambda u: (F.size(u["w"]) > low)).alias("units"))
+    worth = units.select("doc_id", F.filter(F.transform(texts, lambda x, k: F.struct(k.alias("unit"), F.when(x.rlike(pattern), split(x)).alias("w"))), lambda u: (F.size(u["w"]) > low)).alias("units"))
     pairs = worth.select(
         "doc_id",
         F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(u["w"]) - 2), lambda i: F.concat(u["w"][i], F.lit(" "), u["w"][i + 1]))).alias("g"))).alias("units"),
