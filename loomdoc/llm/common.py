@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +45,28 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return few.orderBy(h, *keys).limit(most)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
+    """Bounds the Arrow batches of the actions inside, for rows that carry whole sets; the session's own bounds return after them."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def release_memory() -> None:
+    """Gives freed memory back, since idle Python workers stay beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[list[list]], Iterator[Sequence]]], block: int = 2_000) -> DataFrame:
     """mapInArrow by rows: start() runs once in a task and gives rows-in to rows-out, called with the columns of up to `block` rows.
 
@@ -56,11 +80,15 @@ def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callab
 
         out_schema = to_arrow_schema(spark_schema)
         step = start()
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                rows = list(step([c.to_pylist() for c in part.columns]))
-                columns = list(zip(*rows)) if rows else [[] for _ in out_schema]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, block):
+                    part = batch.slice(at, block)
+                    rows = list(step([c.to_pylist() for c in part.columns]))
+                    columns = list(zip(*rows)) if rows else [[] for _ in out_schema]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+        finally:
+            step = None
+            release_memory()
 
     return df.mapInArrow(run, spark_schema)

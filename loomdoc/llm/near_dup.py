@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.bloom import SEGMENT_BITS, Filter, build
-from loomdoc.llm.common import map_rows
+from loomdoc.llm.common import arrow_batches, map_rows
 from loomdoc.llm.components import components
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, runs, seeded
 from loomdoc.session import written
@@ -46,6 +46,8 @@ PIVOTS = 4
 FILTER_BITS, FILTER_MOST = 16, 1 << 28
 #: Members and shingles of a block in verification.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Rows and bytes of an Arrow batch while rows carry sets.
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -141,7 +143,7 @@ def _sets(docs: DataFrame, k: int, id_type: str) -> DataFrame:
 
         return step
 
-    return map_rows(docs, f"rep {id_type}, cluster {id_type}, n long, elements binary", start)
+    return map_rows(docs, f"rep {id_type}, cluster {id_type}, n long, elements binary", start, block=200)
 
 
 def _pivot_links(sets: DataFrame, percent: int, id_type: str) -> DataFrame:
@@ -235,10 +237,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     stars = spread.join(buckets, "band").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     clusters = written(components(stars), "clusters")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    sets = written(_sets(_candidates(texts, clusters), k, id_type), "sets")
-    first = written(_pivot_links(sets, percent, id_type), "links")
-    labels = components(first)
-    rest = written(_rest_links(sets, labels, percent, id_type), "links")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        sets = written(_sets(_candidates(texts, clusters), k, id_type), "sets")
+        first = written(_pivot_links(sets, percent, id_type), "links")
+        labels = components(first)
+        rest = written(_rest_links(sets, labels, percent, id_type), "links")
     final = labels if rest.isEmpty() else written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
     who = sk.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep")
     found = who.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
