@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Bytes that separate words: space and U+0009 to U+000D.
 SPACES = "\\x20\\x09-\\x0D"
 
+#: Bytes of an Arrow batch, and the setting as Spark has it where nobody chose one.
+BATCH_SIZE, SPARKS_SIZE = "8m", "67108864b"
+
 
 def remainder(id_col: Column | str, by: int) -> Column:
     """crc32(id as text) mod by; -1 for a null id, which so is never held out."""
@@ -71,8 +74,13 @@ def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callab
     """mapInArrow by rows: start() runs once in a task and gives rows-in to rows-out, called with the columns of up to `block` rows.
 
     Output leaves in batches of at most `block` rows or so, so memory follows a
-    block of texts, not the partition.
+    block of texts, not the partition. Where the session leaves the bytes of a
+    batch to Spark, they become BATCH_SIZE: a batch of whole texts stands in the
+    JVM and in the worker of every core at once.
     """
+    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, SPARKS_SIZE) == SPARKS_SIZE:
+        spark.conf.set(bound, BATCH_SIZE)
     spark_schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
