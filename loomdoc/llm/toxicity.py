@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, id_col: str =
                 counts[bool(y)].update({f for t in set(text.lower().split()) for f in token_features(t)})
             for f, n in counts[1].items():
                 yield f, n, counts[0].pop(f, 0)
-            yield from ((f, 0, n) for f, n in counts[0].items() if n >= 3)
+            yield from ((f, 0, n) for f, n in counts[0].items())
 
         return step
 
