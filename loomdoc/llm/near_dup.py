@@ -111,7 +111,7 @@ def sketched(docs: DataFrame, k: int, size: int, rows: int, id_col: str, text_co
 
 
 def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """doc_id, t and cluster of the documents in clusters.
+    """doc_id, t, cluster and part of the documents in clusters; part numbers the BLOCK-sized parts of a large cluster.
 
     A Bloom filter of their ids goes ahead of the join, so other texts are not
     shuffled; a filter too full for many ids lets more texts through, no fewer.
@@ -127,29 +127,33 @@ def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sifted = docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", "t").mapInArrow(sift, f"doc_id {id_type}, t binary")
-    return sifted.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").select("doc_id", "t", "cluster")
+    large = clusters.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("node", F.lit(13)), "parts"), F.lit(0)).cast("int")
+    dealt = clusters.join(large, "component", "left").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), part.alias("part"))
+    return sifted.join(dealt, "doc_id").select("doc_id", "t", "cluster", "part")
 
 
 def _sets(docs: DataFrame, k: int, id_type: str) -> DataFrame:
-    """rep, cluster, n and the sorted set as bytes, of (doc_id, text, cluster) rows."""
+    """rep, cluster, part, n and the sorted set as bytes, of (doc_id, text, cluster, part) rows."""
 
     def start():
         hashes = WordHashes()
 
         def step(columns: list[list]) -> Iterator[tuple]:
-            for doc_id, text, cluster in zip(*columns):
+            for doc_id, text, cluster, part in zip(*columns):
                 s = shingle_set(text, k, hashes)
-                yield doc_id, cluster, len(s), s.tobytes()
+                yield doc_id, cluster, part, len(s), s.tobytes()
 
         return step
 
-    return map_rows(docs, f"rep {id_type}, cluster {id_type}, n long, elements binary", start, block=200)
+    return map_rows(docs, f"rep {id_type}, cluster {id_type}, part int, n long, elements binary", start, block=200)
 
 
 def _pivot_links(sets: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """Links between members and their cluster's pivots."""
-    picks = sets.groupBy("cluster").agg(F.array_distinct(F.array(F.min("rep"), *(F.min(F.struct(F.xxhash64("rep", F.lit(s)), "rep"))["rep"] for s in range(PIVOTS - 1)))).alias("picks"))
-    pivots = picks.select("cluster", F.explode("picks").alias("rep")).join(sets.drop("cluster"), "rep").groupBy("cluster").agg(F.collect_list(F.struct(F.col("rep").alias("rep"), F.col("elements").alias("elements"))).alias("pivots"))  # at most PIVOTS of a cluster
+    """Links between members and their cluster's pivots, which go to every part of the cluster."""
+    picks = sets.groupBy("cluster").agg(F.array_distinct(F.array(F.min("rep"), *(F.min(F.struct(F.xxhash64("rep", F.lit(s)), "rep"))["rep"] for s in range(PIVOTS - 1)))).alias("picks"), F.max("part").alias("last"))
+    pivots = picks.select("cluster", "last", F.explode("picks").alias("rep")).join(sets.select("rep", "elements"), "rep").groupBy("cluster").agg(F.max("last").alias("last"), F.collect_list(F.struct(F.col("rep").alias("rep"), F.col("elements").alias("elements"))).alias("pivots"))  # at most PIVOTS of a cluster
+    pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0), "last")).alias("part"), "pivots")
 
     def start():
         def step(columns: list[list]) -> Iterator[tuple]:
@@ -165,7 +169,7 @@ def _pivot_links(sets: DataFrame, percent: int, id_type: str) -> DataFrame:
 
         return step
 
-    return map_rows(sets.join(pivots, "cluster").select("rep", "elements", "pivots"), f"a {id_type}, b {id_type}", start, block=200)
+    return map_rows(sets.join(pivots, ["cluster", "part"]).select("rep", "elements", "pivots"), f"a {id_type}, b {id_type}", start, block=200)
 
 
 def block_links(left: list[tuple], right: list[tuple], percent: int, width: int = 8192) -> Iterator[tuple]:

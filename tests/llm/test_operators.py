@@ -82,6 +82,24 @@ def test_near_duplicates_equal_brute_force(spark):
         assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, k).collect()} == brute(docs, k, 80)
 
 
+def test_large_clusters_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"w{n}" for n in range(80)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"v{i}"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, " ".join(f"x{i}-{n}" for n in range(20))) for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 2).collect()} == brute(docs, 2, 80)
+    texts = df.selectExpr("doc_id", "cast(text AS binary) AS t")
+    clusters = df.where("doc_id < 60").selectExpr("doc_id AS node", "0L AS component")
+    parts = [r["count"] for r in near_dup._candidates(texts, clusters).where("cluster = 0").groupBy("part").count().collect()]
+    assert sum(parts) == 60 and len(parts) > 1 and max(parts) < 30
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
