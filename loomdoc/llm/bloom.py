@@ -14,15 +14,19 @@ from loomdoc.llm.hashing import mix, seeded
 SEGMENT_BITS = 1 << 20
 #: Hash functions of a key's first level and of each further one.
 K_FIRST, K_NEXT = 8, 2
+#: Segments that are stored and probed together (2 MB of bits).
+PART_SEGMENTS = 16
+#: Keys that a dealing task holds before it passes them on.
+DEALT = 1_000_000
 _ONE = np.uint64(1)
 
 
 class Filter:
-    """A segmented Bloom filter over (key, level)."""
+    """A segmented Bloom filter over (key, level), or the part of one that begins with segment `first` of `segments`."""
 
-    def __init__(self, bits: np.ndarray, segment_bits: int = SEGMENT_BITS):
-        self.bits, self.segment_bits = bits, segment_bits
-        self.segments = len(bits) * 8 // segment_bits
+    def __init__(self, bits: np.ndarray, segment_bits: int = SEGMENT_BITS, segments: int | None = None, first: int = 0):
+        self.bits, self.segment_bits, self.first = bits, segment_bits, first
+        self.segments = segments or len(bits) * 8 // segment_bits
 
     @staticmethod
     def place(keys: np.ndarray, level: int, row: int, segment_bits: int) -> np.ndarray:
@@ -35,7 +39,7 @@ class Filter:
         """The highest level to which every level below is present."""
         out = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
-        base = segment_of(keys, self.segments) * self.segment_bits
+        base = (segment_of(keys, self.segments) - self.first) * self.segment_bits
         for level in range(1, most + 1):
             if not len(at):
                 break
@@ -50,24 +54,71 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (mix(keys.view(np.uint64) ^ seeded(77)) % np.uint64(max(1, segments))).astype(np.int64)
 
 
-def build(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
-    """The bits of all segments, each built in one task from its (key, level) rows."""
+def by_part(keys: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that keys fall into, with the places of its keys in their order."""
+    part = segment_of(keys, segments) // PART_SEGMENTS
+    order = np.argsort(part, kind="stable")
+    found, starts = np.unique(part[order], return_index=True)
+    return zip(found.tolist(), np.split(order, starts[1:]) if len(found) else [])
+
+
+def build_parts(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """part, bits of every part with keys, each built in one task from its (key, level) rows."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            keys, levels = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            rows = [(part, keys[at].tobytes(), levels[at].tobytes()) for part, at in by_part(keys, segments)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "levels"])
+
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), b.column(0), b.column(1)], names=["segment", "key", "level"])
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)))
+            if sum(len(k) for k, _ in held) >= DEALT:
+                yield dealt()
+        if held:
+            yield dealt()
 
     def fill(table: pa.Table) -> pa.Table:
-        bits = np.zeros(segment_bits, bool)
-        keys, levels = table.column("key").to_numpy(), table.column("level").to_numpy()
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for row in range(K_FIRST if level == 1 else K_NEXT):
-                bits[Filter.place(keys[levels >= level], level, row, segment_bits)] = True
-        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        part = table.column("part")[0].as_py()
+        first = part * PART_SEGMENTS
+        bits = np.zeros(min(PART_SEGMENTS, segments - first) * segment_bits, bool)
+        for k, lv in zip(table.column("keys"), table.column("levels")):
+            keys, levels = np.frombuffer(k.as_py(), np.int64), np.frombuffer(lv.as_py(), np.uint8)
+            base = (segment_of(keys, segments) - first) * segment_bits
+            for level in range(1, int(levels.max(initial=0)) + 1):
+                at = levels >= level
+                for row in range(K_FIRST if level == 1 else K_NEXT):
+                    bits[base[at] + Filter.place(keys[at], level, row, segment_bits)] = True
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return ngrams.select("key", "level").mapInArrow(deal, "part int, keys binary, levels binary").groupBy("part").applyInArrow(fill, "part int, bits binary")
 
-    rows = ngrams.select("key", "level").mapInArrow(deal, "segment int, key long, level int").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+
+def build(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
+    """The bits of all segments, for a filter small enough to be sent."""
     out = np.zeros(segments * segment_bits // 8, np.uint8)
-    for r in rows.collect():  # at most MODEL_BITS
-        out[r.segment * segment_bits // 8 : (r.segment + 1) * segment_bits // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    for r in build_parts(ngrams, segments, segment_bits).collect():  # the caller bounds the segments
+        at = r.part * PART_SEGMENTS * segment_bits // 8
+        out[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
+
+
+def probe(asked: DataFrame, parts: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """chunk, part, levels (a byte a key) of asked keys (part, chunk, keys): each part's keys meet its bits in one task, so the filter may have any size."""
+
+    def answer(asks: pa.Table, stored: pa.Table) -> pa.Table:
+        out = []
+        if asks.num_rows:
+            part = asks.column("part")[0].as_py()
+            bits = np.frombuffer(stored.column("bits")[0].as_py(), np.uint8) if stored.num_rows else None
+            held = None if bits is None else Filter(bits, segment_bits, segments, part * PART_SEGMENTS)
+            for k in asks.column("keys"):
+                keys = np.frombuffer(k.as_py(), np.int64)
+                out.append((held.levels(keys) if held else np.zeros(len(keys))).astype(np.uint8).tobytes())
+        return pa.table({"chunk": asks.column("chunk"), "part": asks.column("part"), "levels": pa.array(out, pa.binary())})
+
+    return asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "chunk long, part int, levels binary")

@@ -6,9 +6,11 @@ The filter holds, for every kept n-gram of quantised level L (L - 1 < log2 count
 + 1 <= L), the keys (n-gram, 1) to (n-gram, L'), L' counting from the lowest
 level kept; a count is read back by probing level after level until one is
 missing, and stands for the mean count of its level. The filter is built by
-segments in the executors and broadcast; it has as many bits as half filling
-needs, and at most MODEL_BITS, which sets the lowest level of each order that is
-kept. Words below it share the mean count of their kind. Probabilities mix the
+segments in the executors and has as many bits as half filling needs, whatever
+the corpus. Up to MODEL_BITS it is broadcast; beyond, it stays in the executors:
+texts are packed to chunks, each chunk's n-grams are joined with the parts of the
+filter that they fall into, and the levels found come back to the chunk. Both
+ways read the same bits, so they give the same scores. Probabilities mix the
 pair's relative frequency with the word's smoothed one, by a weight for each
 level of the first word, estimated on training documents with each occurrence
 left out of the counts.
@@ -24,20 +26,24 @@ and base_score is tokens * log10(0.1 / 0.1). Hashes have 63 bits.
 
 from __future__ import annotations
 
+import copy
+import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.bloom import K_FIRST, K_NEXT, SEGMENT_BITS, Filter, build
+from loomdoc.llm.bloom import K_FIRST, K_NEXT, SEGMENT_BITS, Filter, build, build_parts, by_part, probe
 from loomdoc.llm.common import bounded_sample, remainder
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, seeded
 from loomdoc.session import written
 
-#: Most bits of the filter (32 MB).
+#: Most bits of a filter that is broadcast (32 MB); a larger one is joined.
 MODEL_BITS = 1 << 28
 #: Most words whose exact counts are sent to every worker (16 bytes each).
 HEAD = 200_000
@@ -45,6 +51,8 @@ HEAD = 200_000
 TUNING = 1_000
 #: Keys that a counting task holds before it passes them on.
 PENDING = 3_000_000
+#: Bytes of text whose n-grams are joined with the filter at once.
+CHUNK_BYTES = 4 << 20
 #: Ids with remainder 0 by FOLDS are held out.
 FOLDS = 10
 END = b" end "  # no word holds a space
@@ -80,6 +88,12 @@ def firsts(ends: np.ndarray, n: int) -> np.ndarray:
     return mark
 
 
+def ngram_keys(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words and of all pairs inside a text."""
+    inside = ~firsts(ends, len(h))[1:]
+    return word_keys(h), pair_keys(h[:-1][inside], h[1:][inside])
+
+
 def count_ngrams(texts: DataFrame, pending: int = PENDING) -> DataFrame:
     """key, n of every word and pair in a frame of one binary column."""
 
@@ -96,8 +110,7 @@ def count_ngrams(texts: DataFrame, pending: int = PENDING) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 h, ends = token_hashes(batch.column(0).slice(at, 500).to_pylist(), hashes)
-                inside = ~firsts(ends, len(h))[1:]
-                held += [word_keys(h), pair_keys(h[:-1][inside], h[1:][inside])]
+                held += ngram_keys(h, ends)
                 size += sum(map(len, held[-2:]))
                 if size >= pending:
                     yield counted()
@@ -112,15 +125,40 @@ def level_of(n):
     return (F.floor(F.log2(n)) + 1).cast("int")
 
 
+class Known:
+    """Levels that have been read from a stored filter, of sorted keys."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.found = keys, levels
+
+    def levels(self, keys: np.ndarray, most: int = 64) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
 class Model:
-    """The filter with its level tables and mixing weights, as the workers use it."""
+    """The filter with its level tables and mixing weights, as the workers use it.
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, floor: dict[str, int], means: dict[str, list[float]], rare: float, n: int, v: int, mixing: list[float] | None = None):
-        self.filter = Filter(bits, segment_bits)
+    A filter beyond the broadcast bound is `stored`, a table of its parts that the
+    driver alone holds; workers then get the levels of a chunk's n-grams in its place.
+    """
+
+    def __init__(self, bits: np.ndarray | None, segment_bits: int, floor: dict[str, int], means: dict[str, list[float]], rare: float, n: int, v: int, mixing: list[float] | None = None):
+        self.filter = None if bits is None else Filter(bits, segment_bits)
+        self.stored: DataFrame | None = None
+        self.segments, self.segment_bits = 0, segment_bits
         self.floor, self.rare, self.n, self.v = floor, rare, n, v
         self.means = {k: np.array(m) for k, m in means.items()}
         self.mixing = np.array(mixing if mixing is not None else [0.0] * 66)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"stored": None}
+
+    def reading(self, known: Known) -> Model:
+        """The model with the levels of a chunk's n-grams as its filter."""
+        m = copy.copy(self)
+        m.filter = known
+        return m
+
     def count(self, keys: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
         """Estimated counts and absolute levels (0: not held)."""
         unique, back = np.unique(keys, return_inverse=True)
@@ -146,6 +184,94 @@ class Model:
         return np.log10(np.minimum(1.0, np.where(first, p, w * q + (1 - w) * p)))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """chunk, payload: the rows in chunks of about CHUNK_BYTES of their texts `t`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def sealed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "payload"])
+
+        for batch in batches:
+            start = 0
+            for i, n in enumerate(pc.binary_length(batch.column("t")).to_pylist()):
+                size += n + 16
+                if size >= CHUNK_BYTES:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield sealed()
+                    chunk, size, start = chunk + 1, 0, i + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield sealed()
+
+    return rows.mapInArrow(run, "chunk long, payload binary")
+
+
+def unpacked(payload: bytes, hashes: WordHashes) -> tuple[pa.Table, np.ndarray]:
+    """A chunk's rows and the sorted keys of its n-grams."""
+    table = pa.ipc.open_stream(payload).read_all()
+    keys = [k for b in table.to_batches(max_chunksize=500) for k in ngram_keys(*token_hashes(b.column("t").to_pylist(), hashes))]
+    return table, np.unique(np.concatenate(keys))
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that have ended."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def probed(rows: DataFrame, model: Model) -> DataFrame:
+    """payload, found: chunks of rows, and by part the levels of their n-grams in the stored filter."""
+    segments = model.segments
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, keys = unpacked(payload.as_py(), hashes)
+                parts, asked = zip(*((part, keys[at].tobytes()) for part, at in by_part(keys, segments)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(asked, pa.binary())], names=["part", "chunk", "keys"])
+
+    chunks = written(packed(rows), "chunks")
+    answers = probe(chunks.mapInArrow(ask, "part int, chunk long, keys binary"), model.stored, segments, model.segment_bits)
+    found = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "levels")).alias("found"))
+    return written(chunks.join(found, "chunk").select("payload", "found"), "probed")
+
+
+def over(rows: DataFrame, model: Model, step: Callable[[Model, WordHashes, pa.RecordBatch], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
+    """step on every 200 rows, with a model that knows their n-grams: the broadcast one, or one of the levels found for their chunk."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, m = WordHashes(), model_of()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                yield step(m, hashes, batch.slice(at, 200))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, m = WordHashes(), model_of()
+        for batch in batches:
+            for payload, found in zip(batch.column(0), batch.column(1)):
+                table, keys = unpacked(payload.as_py(), hashes)
+                by = {x["part"]: np.frombuffer(x["levels"], np.uint8) for x in found.as_py()}
+                levels = np.zeros(len(keys), np.int64)
+                for part, at in by_part(keys, m.segments):
+                    levels[at] = by[part]
+                known = m.reading(Known(keys, levels))
+                for b in table.to_batches(max_chunksize=200):
+                    yield step(known, hashes, b)
+
+    return rows.mapInArrow(sent, schema) if model.stored is None else probed(rows, model).mapInArrow(joined, schema)
+
+
 def mixing_weights(rows: list[tuple[int, int, int]]) -> list[float]:
     """For each level the weight w that maximises sum n log(w r + 1 - w), r = 2 ** (bin / 4) and 0 for bin -999, by EM."""
     out = [0.0] * 66
@@ -165,16 +291,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
     counted = written(count_ngrams(train.select("t")).where(~odd | (F.col("n") >= 2)), "ngrams")
     shape = counted.groupBy(odd.alias("pair"), level_of(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect()  # at most 64 levels of two kinds
     n, v = (sum(r[k] for r in shape if not r.pair) for k in ("n", "c"))
-    # the lowest levels that fit, raised one at a time where the most bits are saved
     floor = {"word": 1, "pair": 2}
     kinds = {"word": False, "pair": True}
 
     def bits(kind: str) -> float:
         return sum(r.c * (K_FIRST + K_NEXT * (r.level - floor[kind])) for r in shape if r.pair == kinds[kind] and r.level >= floor[kind]) / math.log(2)
 
-    while bits("word") + bits("pair") > model_bits:
-        floor["pair" if bits("pair") >= bits("word") else "word"] += 1
-    segments = min(max(1, model_bits // SEGMENT_BITS), max(1, math.ceil((bits("word") + bits("pair")) / SEGMENT_BITS)))
+    segments = max(1, math.ceil((bits("word") + bits("pair")) / SEGMENT_BITS))
     means = {kind: [0.0] * 66 for kind in kinds}
     for kind, pair in kinds.items():
         for r in shape:
@@ -184,23 +307,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
     rare = sum(r.n for r in low) / (sum(r.c for r in low) + 1)
     level = level_of(F.col("n"))
     kept = counted.where(F.when(odd, level >= floor["pair"]).otherwise(level >= floor["word"])).select("key", (level - F.when(odd, floor["pair"]).otherwise(floor["word"]) + 1).cast("int").alias("level"))
-    model = Model(build(kept, segments), SEGMENT_BITS, floor, means, rare, n, v)
-    tuning = bounded_sample(train.where("id IS NOT NULL"), ["id"], TUNING).select("t")
+    fits = segments * SEGMENT_BITS <= model_bits
+    model = Model(build(kept, segments) if fits else None, SEGMENT_BITS, floor, means, rare, n, v)
     spark = docs.sparkSession
+    if not fits:
+        let_go(spark)
+        model.stored, model.segments = written(build_parts(kept, segments), "filter"), segments
+        let_go(spark)
+    tuning = bounded_sample(train.where("id IS NOT NULL"), ["id"], TUNING).select("t")
     sent = spark.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = WordHashes(), sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                h, ends = token_hashes(batch.column(0).slice(at, 200).to_pylist(), hashes)
-                first = firsts(ends, len(h))
-                p, q, before = m.parts(h, first, 1.0)
-                bins = np.where(q > 0, np.clip(np.round(4 * np.log2(np.maximum(q, 1e-30) / p)), -80, 240), -999).astype(np.int64)
-                keys, c = np.unique((before[~first] << 20) + bins[~first] + 1000, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["k", "c"])
-
-    rows = tuning.mapInArrow(measure, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most 66 * 322
+    def measure(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
+        h, ends = token_hashes(part.column("t").to_pylist(), hashes)
+        first = firsts(ends, len(h))
+        p, q, before = m.parts(h, first, 1.0)
+        bins = np.where(q > 0, np.clip(np.round(4 * np.log2(np.maximum(q, 1e-30) / p)), -80, 240), -999).astype(np.int64)
+        keys, c = np.unique((before[~first] << 20) + bins[~first] + 1000, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["k", "c"])
+
+    rows = over(tuning, model, measure, lambda: sent.value, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most 66 * 322
     model.mixing = np.array(mixing_weights([(r.k >> 20, (r.k & 0xFFFFF) - 1000, r.c) for r in rows]))
     sent.unpersist()
     return model, counted.where(~odd)
@@ -226,28 +351,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD, id
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (remainder(id_col, FOLDS) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        model, keys, values = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                h, ends = token_hashes(part.column(3).to_pylist(), hashes)
-                owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                k = word_keys(h)
-                place = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                known = keys[place] == k if len(keys) else np.zeros(len(k), bool)
-                each = np.zeros(len(k))
-                each[known] = np.log10((values[place[known]] + 0.1) / total)
-                sums = lambda w: np.bincount(owner, weights=w, minlength=len(ends))  # noqa: E731, B023
-                tails = np.split(k[~known], np.cumsum(sums(~known).astype(np.int64))[:-1])
-                logs = model.log10(h, firsts(ends, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(np.diff(ends, prepend=0)), pa.array(sums(known).astype(np.int64)), pa.array(sums(each)), pa.array(sums(logs)), pa.array([x.tolist() for x in tails], pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
-                )
-
-    scored = written(rows.mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
+    def run(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
+        _, keys, values = sent.value
+        h, ends = token_hashes(part.column("t").to_pylist(), hashes)
+        owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        k = word_keys(h)
+        place = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+        known = keys[place] == k if len(keys) else np.zeros(len(k), bool)
+        each = np.zeros(len(k))
+        each[known] = np.log10((values[place[known]] + 0.1) / total)
+        sums = lambda w: np.bincount(owner, weights=w, minlength=len(ends))
+        tails = np.split(k[~known], np.cumsum(sums(~known).astype(np.int64))[:-1])
+        logs = m.log10(h, firsts(ends, len(h)))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), part.column(2), pa.array(np.diff(ends, prepend=0)), pa.array(sums(known).astype(np.int64)), pa.array(sums(each)), pa.array(sums(logs)), pa.array([x.tolist() for x in tails], pa.list_(pa.int64()))],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
+        )
+
+    scored = written(over(rows, model, run, lambda: sent.value[0], f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
+    let_go(spark)
     tails = scored.select("row", F.explode("tail").alias("key"))
     c = F.coalesce(F.col("n"), F.lit(0))
     found = tails.join(counts.where(~is_head), "key", "left").groupBy("row").agg(F.sum(F.log10((c + 0.1) / F.lit(total))).alias("more"), F.count("n").alias("more_known"))

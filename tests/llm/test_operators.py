@@ -237,6 +237,20 @@ def test_lm_counts_and_filter(spark):
         assert model.filter.levels(key)[0] >= int(math.log2(counts[w])) + 1
 
 
+def test_lm_filter_beyond_the_broadcast_bound_is_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 12)
+    runs = []
+    for bound in (lm.MODEL_BITS, 1):
+        model, counts = lm.fit(df, model_bits=bound)
+        assert (model.stored is None) == (bound > 1)
+        runs.append((model.mixing.tolist(), sorted(tuple(r) for r in lm.score(df, model, counts).collect())))
+    assert runs[0] == runs[1] and len(runs[0][1]) == 80
+
+
 def test_sharding_is_even_and_stable():
     names = tuple(f"s{i}" for i in range(7))
     t = sharding.fill(names, 997)
