@@ -2,9 +2,8 @@
 
 Counting: every training document's words and pairs of neighbouring words (an
 end closes each text) are counted by hash, first in the task, then by a shuffle.
-The filter holds, for every kept n-gram of quantised level L (L - 1 < log2 count
-+ 1 <= L), the keys (n-gram, 1) to (n-gram, L'), L' counting from the lowest
-level kept; a count is read back by probing level after level until one is
+The filter holds, for every n-gram of quantised level L (L - 1 < log2 count
++ 1 <= L), the keys (n-gram, 1) to (n-gram, L); a count is read back by probing level after level until one is
 missing, and stands for the mean count of its level. The filter is built by
 segments in the executors and has as many bits as half filling needs, whatever
 the corpus. Up to MODEL_BITS it is broadcast; beyond, it stays in the executors:
@@ -142,11 +141,11 @@ class Model:
     driver alone holds; workers then get the levels of a chunk's n-grams in its place.
     """
 
-    def __init__(self, bits: np.ndarray | None, segment_bits: int, floor: dict[str, int], means: dict[str, list[float]], rare: float, n: int, v: int, mixing: list[float] | None = None):
+    def __init__(self, bits: np.ndarray | None, segment_bits: int, means: dict[str, list[float]], n: int, v: int, mixing: list[float] | None = None):
         self.filter = None if bits is None else Filter(bits, segment_bits)
         self.stored: DataFrame | None = None
         self.segments, self.segment_bits = 0, segment_bits
-        self.floor, self.rare, self.n, self.v = floor, rare, n, v
+        self.n, self.v = n, v
         self.means = {k: np.array(m) for k, m in means.items()}
         self.mixing = np.array(mixing if mixing is not None else [0.0] * 66)
 
@@ -160,16 +159,15 @@ class Model:
         return m
 
     def count(self, keys: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated counts and absolute levels (0: not held)."""
+        """Estimated counts and levels (0: not held)."""
         unique, back = np.unique(keys, return_inverse=True)
         levels = self.filter.levels(unique, 64)
-        levels = np.where(levels > 0, levels + self.floor[kind] - 1, 0)
         return self.means[kind][np.minimum(levels, 65)][back], levels[back]
 
     def parts(self, h: np.ndarray, first: np.ndarray, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word probability, pair's relative frequency, and level of the word before, of every token."""
         c, level = self.count(word_keys(h), "word")
-        c = np.where(level > 0, np.maximum(c - left_out, 0), self.rare)
+        c = np.maximum(c - left_out, 0)
         p = (c + 0.1) / (self.n + 0.1 * (self.v + 1)) if self.n else np.ones(len(h))
         q, before = np.zeros(len(h)), np.zeros(len(h), np.int64)
         inner = np.flatnonzero(~first)
@@ -288,31 +286,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
     """The model, and the exact counts of all training words (key, n)."""
     train = docs.where(remainder(id_col, FOLDS) != 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     odd = F.col("key") % 2 != 0
-    counted = written(count_ngrams(train.select("t")).where(~odd | (F.col("n") >= 2)), "ngrams")
+    counted = written(count_ngrams(train.select("t")), "ngrams")
     shape = counted.groupBy(odd.alias("pair"), level_of(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect()  # at most 64 levels of two kinds
     n, v = (sum(r[k] for r in shape if not r.pair) for k in ("n", "c"))
-    floor = {"word": 1, "pair": 2}
-    kinds = {"word": False, "pair": True}
-
-    def bits(kind: str) -> float:
-        return sum(r.c * (K_FIRST + K_NEXT * (r.level - floor[kind])) for r in shape if r.pair == kinds[kind] and r.level >= floor[kind]) / math.log(2)
-
-    segments = max(1, math.ceil((bits("word") + bits("pair")) / SEGMENT_BITS))
-    means = {kind: [0.0] * 66 for kind in kinds}
-    for kind, pair in kinds.items():
-        for r in shape:
-            if r.pair == pair and r.level >= floor[kind]:
-                means[kind][r.level] = r.n / r.c
-    low = [r for r in shape if not r.pair and r.level < floor["word"]]
-    rare = sum(r.n for r in low) / (sum(r.c for r in low) + 1)
-    level = level_of(F.col("n"))
-    kept = counted.where(F.when(odd, level >= floor["pair"]).otherwise(level >= floor["word"])).select("key", (level - F.when(odd, floor["pair"]).otherwise(floor["word"]) + 1).cast("int").alias("level"))
+    bits = sum(r.c * (K_FIRST + K_NEXT * (r.level - 1)) for r in shape) / math.log(2)
+    segments = max(1, math.ceil(bits / SEGMENT_BITS))
+    means = {"word": [0.0] * 66, "pair": [0.0] * 66}
+    for r in shape:
+        means["pair" if r.pair else "word"][r.level] = r.n / r.c
+    leveled = counted.select("key", level_of(F.col("n")).alias("level"))
     fits = segments * SEGMENT_BITS <= model_bits
-    model = Model(build(kept, segments) if fits else None, SEGMENT_BITS, floor, means, rare, n, v)
+    model = Model(build(leveled, segments) if fits else None, SEGMENT_BITS, means, n, v)
     spark = docs.sparkSession
     if not fits:
         let_go(spark)
-        model.stored, model.segments = written(build_parts(kept, segments), "filter"), segments
+        model.stored, model.segments = written(build_parts(leveled, segments), "filter"), segments
         let_go(spark)
     tuning = bounded_sample(train.where("id IS NOT NULL"), ["id"], TUNING).select("t")
     sent = spark.sparkContext.broadcast(model)

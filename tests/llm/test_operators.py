@@ -237,6 +237,17 @@ def test_lm_counts_and_filter(spark):
         assert model.filter.levels(key)[0] >= int(math.log2(counts[w])) + 1
 
 
+def test_lm_knows_pairs_of_count_one(spark):
+    docs = [(i, f"only{i} once{i}") for i in range(40)]
+    model, _ = lm.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    h = lm.WordHashes()
+    for i, t in docs:
+        a, b = (h.array([w.encode()]) for w in t.split())
+        n, level = model.count(lm.pair_keys(a, b), "pair")
+        if zlib.crc32(str(i).encode()) % 10:
+            assert (n[0], level[0]) == (1, 1)
+
+
 def test_lm_filter_beyond_the_broadcast_bound_is_joined(spark, monkeypatch):
     rng = random.Random(6)
     docs = [(i, " ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(80)]
