@@ -11,7 +11,7 @@ texts are packed to chunks, each chunk's n-grams are joined with the parts of th
 filter that they fall into, and the levels found come back to the chunk. Both
 ways read the same bits, so they give the same scores. Probabilities mix the
 pair's relative frequency with the word's smoothed one, by a weight for each
-level of the first word, estimated on training documents with each occurrence
+level of the first word, estimated on all training documents with each occurrence
 left out of the counts.
 
 The base score needs each word's exact count: frequent words (at most HEAD of
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.bloom import K_FIRST, K_NEXT, SEGMENT_BITS, Filter, build, build_parts, by_part, probe
-from loomdoc.llm.common import bounded_sample, remainder
+from loomdoc.llm.common import remainder
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, seeded
 from loomdoc.session import written
 
@@ -46,8 +46,6 @@ from loomdoc.session import written
 MODEL_BITS = 1 << 28
 #: Most words whose exact counts are sent to every worker (16 bytes each).
 HEAD = 200_000
-#: Documents on which the mixing weights are estimated.
-TUNING = 1_000
 #: Keys that a counting task holds before it passes them on.
 PENDING = 3_000_000
 #: Bytes of text whose n-grams are joined with the filter at once.
@@ -139,18 +137,21 @@ class Model:
 
     A filter beyond the broadcast bound is `stored`, a table of its parts that the
     driver alone holds; workers then get the levels of a chunk's n-grams in its place.
+    Those of the documents `asked`, which the model is fitted on, are `found` once.
     """
 
     def __init__(self, bits: np.ndarray | None, segment_bits: int, means: dict[str, list[float]], n: int, v: int, mixing: list[float] | None = None):
         self.filter = None if bits is None else Filter(bits, segment_bits)
         self.stored: DataFrame | None = None
+        self.asked: tuple[DataFrame, str, str] | None = None
+        self.found: DataFrame | None = None
         self.segments, self.segment_bits = 0, segment_bits
         self.n, self.v = n, v
         self.means = {k: np.array(m) for k, m in means.items()}
         self.mixing = np.array(mixing if mixing is not None else [0.0] * 66)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"stored": None}
+        return self.__dict__ | {"stored": None, "asked": None, "found": None}
 
     def reading(self, known: Known) -> Model:
         """The model with the levels of a chunk's n-grams as its filter."""
@@ -182,6 +183,11 @@ class Model:
         return np.log10(np.minimum(1.0, np.where(first, p, w * q + (1 - w) * p)))
 
 
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, held_out and the text t, never null, of every row."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (remainder(id_col, FOLDS) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """chunk, payload: the rows in chunks of about CHUNK_BYTES of their texts `t`."""
 
@@ -245,7 +251,7 @@ def probed(rows: DataFrame, model: Model) -> DataFrame:
     return written(chunks.join(found, "chunk").select("payload", "found"), "probed")
 
 
-def over(rows: DataFrame, model: Model, step: Callable[[Model, WordHashes, pa.RecordBatch], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
+def over(rows: DataFrame, source: tuple[DataFrame, str, str], model: Model, step: Callable[[Model, WordHashes, pa.RecordBatch], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
     """step on every 200 rows, with a model that knows their n-grams: the broadcast one, or one of the levels found for their chunk."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +273,10 @@ def over(rows: DataFrame, model: Model, step: Callable[[Model, WordHashes, pa.Re
                 for b in table.to_batches(max_chunksize=200):
                     yield step(known, hashes, b)
 
-    return rows.mapInArrow(sent, schema) if model.stored is None else probed(rows, model).mapInArrow(joined, schema)
+    if model.stored is None:
+        return rows.mapInArrow(sent, schema)
+    same = model.asked is not None and source[0] is model.asked[0] and source[1:] == model.asked[1:]
+    return (model.found if same else probed(rows, model)).mapInArrow(joined, schema)
 
 
 def mixing_weights(rows: list[tuple[int, int, int]]) -> list[float]:
@@ -284,7 +293,8 @@ def mixing_weights(rows: list[tuple[int, int, int]]) -> list[float]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_bits: int = MODEL_BITS) -> tuple[Model, DataFrame]:
     """The model, and the exact counts of all training words (key, n)."""
-    train = docs.where(remainder(id_col, FOLDS) != 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    rows = text_rows(docs, id_col, text_col)
+    train = rows.where("NOT held_out")
     odd = F.col("key") % 2 != 0
     counted = written(count_ngrams(train.select("t")), "ngrams")
     shape = counted.groupBy(odd.alias("pair"), level_of(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect()  # at most 64 levels of two kinds
@@ -302,18 +312,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
         let_go(spark)
         model.stored, model.segments = written(build_parts(leveled, segments), "filter"), segments
         let_go(spark)
-    tuning = bounded_sample(train.where("id IS NOT NULL"), ["id"], TUNING).select("t")
+        model.asked, model.found = (docs, id_col, text_col), probed(rows, model)
+        let_go(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def measure(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
-        h, ends = token_hashes(part.column("t").to_pylist(), hashes)
+        h, ends = token_hashes(part.filter(pc.invert(part.column("held_out"))).column("t").to_pylist(), hashes)
         first = firsts(ends, len(h))
         p, q, before = m.parts(h, first, 1.0)
         bins = np.where(q > 0, np.clip(np.round(4 * np.log2(np.maximum(q, 1e-30) / p)), -80, 240), -999).astype(np.int64)
         keys, c = np.unique((before[~first] << 20) + bins[~first] + 1000, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["k", "c"])
 
-    rows = over(tuning, model, measure, lambda: sent.value, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most 66 * 322
+    rows = over(train if fits else rows, (docs, id_col, text_col), model, measure, lambda: sent.value, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most 66 * 322
     model.mixing = np.array(mixing_weights([(r.k >> 20, (r.k & 0xFFFFF) - 1000, r.c) for r in rows]))
     sent.unpersist()
     return model, counted.where(~odd)
@@ -337,7 +348,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD, id
     keys, values = keys[order], np.array(top["n"], np.float64)[order] if top is not None else np.zeros(0)
     sent = spark.sparkContext.broadcast((model, keys, values))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (remainder(id_col, FOLDS) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    rows = text_rows(docs, id_col, text_col)
 
     def run(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
         _, keys, values = sent.value
@@ -356,7 +367,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD, id
             names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
         )
 
-    scored = written(over(rows, model, run, lambda: sent.value[0], f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
+    scored = written(over(rows, (docs, id_col, text_col), model, run, lambda: sent.value[0], f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
     let_go(spark)
     tails = scored.select("row", F.explode("tail").alias("key"))
     c = F.coalesce(F.col("n"), F.lit(0))

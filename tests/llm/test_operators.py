@@ -248,6 +248,20 @@ def test_lm_knows_pairs_of_count_one(spark):
             assert (n[0], level[0]) == (1, 1)
 
 
+def test_lm_mixing_weights_come_from_all_training_rows(spark):
+    # only the last of 1,201 documents has words of this level
+    docs = [(i, f"a{i} b{i}") for i in range(1_200)] + [(1_205, "left right " * 3_000)]
+    assert zlib.crc32(b"1205") % 10
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model, _ = lm.fit(df)
+    level = int(math.log2(3_000)) + 1
+    assert model.mixing[level] > 0.5
+    # rows without an id are training rows, too
+    texts = [(None, t) for _, t in docs]
+    free, _ = lm.fit(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert free.mixing[level] > 0.5
+
+
 def test_lm_filter_beyond_the_broadcast_bound_is_joined(spark, monkeypatch):
     rng = random.Random(6)
     docs = [(i, " ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(80)]
