@@ -57,9 +57,12 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
 def by_part(keys: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that keys fall into, with the places of its keys in their order."""
     part = segment_of(keys, segments) // PART_SEGMENTS
+    if segments <= PART_SEGMENTS << 15:
+        part = part.astype(np.int16)  # sorted by radix
     order = np.argsort(part, kind="stable")
-    found, starts = np.unique(part[order], return_index=True)
-    return zip(found.tolist(), np.split(order, starts[1:]) if len(found) else [])
+    dealt = part[order]
+    starts = np.flatnonzero(np.diff(dealt, prepend=-1))
+    return zip(dealt[starts].tolist(), np.split(order, starts[1:]) if len(starts) else [])
 
 
 def build_parts(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> DataFrame:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import copy
 import gc
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -220,17 +221,27 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, payload binary")
 
 
-def unpacked(payload: bytes, hashes: WordHashes) -> tuple[pa.Table, np.ndarray]:
-    """A chunk's rows and the sorted keys of its n-grams."""
+def unpacked(payload: bytes, hashes: WordHashes) -> tuple[list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], np.ndarray]:
+    """A chunk's rows by 200 with their token hashes and ends, and the sorted keys of all their n-grams."""
     table = pa.ipc.open_stream(payload).read_all()
-    keys = [k for b in table.to_batches(max_chunksize=500) for k in ngram_keys(*token_hashes(b.column("t").to_pylist(), hashes))]
-    return table, np.unique(np.concatenate(keys))
+    parts = [(b, *token_hashes(b.column("t").to_pylist(), hashes)) for b in table.to_batches(max_chunksize=200)]
+    return parts, np.unique(np.concatenate([k for _, h, ends in parts for k in ngram_keys(h, ends)]))
 
 
 def let_go(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that have ended."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that have ended, which else stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # the first round frees Python's handles
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def probed(rows: DataFrame, model: Model) -> DataFrame:
@@ -248,30 +259,33 @@ def probed(rows: DataFrame, model: Model) -> DataFrame:
     chunks = written(packed(rows), "chunks")
     answers = probe(chunks.mapInArrow(ask, "part int, chunk long, keys binary"), model.stored, segments, model.segment_bits)
     found = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "levels")).alias("found"))
-    return written(chunks.join(found, "chunk").select("payload", "found"), "probed")
+    out = written(chunks.join(found, "chunk").select("payload", "found"), "probed")
+    dropped(chunks)
+    return out
 
 
-def over(rows: DataFrame, source: tuple[DataFrame, str, str], model: Model, step: Callable[[Model, WordHashes, pa.RecordBatch], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
-    """step on every 200 rows, with a model that knows their n-grams: the broadcast one, or one of the levels found for their chunk."""
+def over(rows: DataFrame, source: tuple[DataFrame, str, str], model: Model, step: Callable[[Model, pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
+    """step on every 200 rows and their tokens, with a model that knows their n-grams: the broadcast one, or one of the levels found for their chunk."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, m = WordHashes(), model_of()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                yield step(m, hashes, batch.slice(at, 200))
+                part = batch.slice(at, 200)
+                yield step(m, part, *token_hashes(part.column("t").to_pylist(), hashes))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, m = WordHashes(), model_of()
         for batch in batches:
             for payload, found in zip(batch.column(0), batch.column(1)):
-                table, keys = unpacked(payload.as_py(), hashes)
+                parts, keys = unpacked(payload.as_py(), hashes)
                 by = {x["part"]: np.frombuffer(x["levels"], np.uint8) for x in found.as_py()}
                 levels = np.zeros(len(keys), np.int64)
                 for part, at in by_part(keys, m.segments):
                     levels[at] = by[part]
                 known = m.reading(Known(keys, levels))
-                for b in table.to_batches(max_chunksize=200):
-                    yield step(known, hashes, b)
+                for part in parts:
+                    yield step(known, *part)
 
     if model.stored is None:
         return rows.mapInArrow(sent, schema)
@@ -308,26 +322,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_b
     fits = segments * SEGMENT_BITS <= model_bits
     model = Model(build(leveled, segments) if fits else None, SEGMENT_BITS, means, n, v)
     spark = docs.sparkSession
+    words = counted.where(~odd)
     if not fits:
         let_go(spark)
         model.stored, model.segments = written(build_parts(leveled, segments), "filter"), segments
         let_go(spark)
+        words = written(counted.where(~odd), "words")
+        dropped(counted)
         model.asked, model.found = (docs, id_col, text_col), probed(rows, model)
         let_go(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    def measure(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
-        h, ends = token_hashes(part.filter(pc.invert(part.column("held_out"))).column("t").to_pylist(), hashes)
+    def measure(m: Model, part: pa.RecordBatch, h: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         first = firsts(ends, len(h))
         p, q, before = m.parts(h, first, 1.0)
         bins = np.where(q > 0, np.clip(np.round(4 * np.log2(np.maximum(q, 1e-30) / p)), -80, 240), -999).astype(np.int64)
-        keys, c = np.unique((before[~first] << 20) + bins[~first] + 1000, return_counts=True)
+        counts = ~first & np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
+        keys, c = np.unique((before[counts] << 20) + bins[counts] + 1000, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["k", "c"])
 
     rows = over(train if fits else rows, (docs, id_col, text_col), model, measure, lambda: sent.value, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most 66 * 322
     model.mixing = np.array(mixing_weights([(r.k >> 20, (r.k & 0xFFFFF) - 1000, r.c) for r in rows]))
     sent.unpersist()
-    return model, counted.where(~odd)
+    return model, words
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,9 +367,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD, id
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = text_rows(docs, id_col, text_col)
 
-    def run(m: Model, hashes: WordHashes, part: pa.RecordBatch) -> pa.RecordBatch:
+    def run(m: Model, part: pa.RecordBatch, h: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         _, keys, values = sent.value
-        h, ends = token_hashes(part.column("t").to_pylist(), hashes)
         owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         k = word_keys(h)
         place = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
