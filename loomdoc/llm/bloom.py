@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomdoc.llm.common import release_memory
 from loomdoc.llm.hashing import mix, seeded
 
 #: Bits of a segment; a segment is built in one task.
@@ -122,6 +123,7 @@ def probe(asked: DataFrame, parts: DataFrame, segments: int, segment_bits: int =
             for k in asks.column("keys"):
                 keys = np.frombuffer(k.as_py(), np.int64)
                 out.append((held.levels(keys) if held else np.zeros(len(keys))).astype(np.uint8).tobytes())
+        release_memory()
         return pa.table({"chunk": asks.column("chunk"), "part": asks.column("part"), "levels": pa.array(out, pa.binary())})
 
     return asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "chunk long, part int, levels binary")

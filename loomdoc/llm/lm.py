@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.bloom import K_FIRST, K_NEXT, SEGMENT_BITS, Filter, build, build_parts, by_part, probe
-from loomdoc.llm.common import remainder
+from loomdoc.llm.common import release_memory, remainder
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, seeded
 from loomdoc.session import written
 
@@ -255,13 +255,12 @@ def probed(rows: DataFrame, model: Model) -> DataFrame:
                 _, keys = unpacked(payload.as_py(), hashes)
                 parts, asked = zip(*((part, keys[at].tobytes()) for part, at in by_part(keys, segments)))
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(asked, pa.binary())], names=["part", "chunk", "keys"])
+            release_memory()
 
     chunks = written(packed(rows), "chunks")
     answers = probe(chunks.mapInArrow(ask, "part int, chunk long, keys binary"), model.stored, segments, model.segment_bits)
-    found = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "levels")).alias("found"))
-    out = written(chunks.join(found, "chunk").select("payload", "found"), "probed")
-    dropped(chunks)
-    return out
+    found = written(answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "levels")).alias("found")), "levels")
+    return chunks.join(found, "chunk").select("payload", "found")
 
 
 def over(rows: DataFrame, source: tuple[DataFrame, str, str], model: Model, step: Callable[[Model, pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], model_of: Callable[[], Model], schema: str) -> DataFrame:
@@ -286,6 +285,7 @@ def over(rows: DataFrame, source: tuple[DataFrame, str, str], model: Model, step
                 known = m.reading(Known(keys, levels))
                 for part in parts:
                     yield step(known, *part)
+            release_memory()
 
     if model.stored is None:
         return rows.mapInArrow(sent, schema)
