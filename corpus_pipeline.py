@@ -1,52 +1,16 @@
 """The corpus pipeline: toxic documents out, boilerplate lines out, one of each group of near copies, no benchmark text, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns a
-DataFrame; all but the last return the columns of documents. Null texts pass the
-filters (no toxic passage, no shingles, no benchmark words) and encode as empty.
+DataFrame; all but the last return the columns of documents. loomdoc.llm.stages
+states what a stage does with odd rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomdoc.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
-from loomdoc.session import table, written
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, with_spans=False, carry=rest).where("predicted = 0").select(*docs.columns)
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
-    return line_dedup.dedup_lines(docs, counts=None)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id; five-word shingles, similarity 0.8."""
-    gone = written(near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:  # rows that share an id are one document
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left.select(*docs.columns)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=rest)
-    return found.where("n_hit = 0").select(*docs.columns)
-
-
-def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the hashes of the ids and of the decoded text."""
-    return bpe.encode(docs)
 
+from loomdoc.llm.stages import drop_benchmark, drop_lines, drop_near_copies, drop_toxic, to_tokens
+from loomdoc.session import dropped, table, written
 
 STAGES = [
     ("toxicity", drop_toxic),
@@ -56,13 +20,17 @@ STAGES = [
     ("bpe", to_tokens),
 ]
 
-#: BPE merges, the label model and the sketch are beyond SQL; the tests hold run() against a plain version.
+#: BPE merges, the label model and the sketch are beyond SQL; tests/llm holds run() against a plain version in Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
