@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Bytes that separate words: space and U+0009 to U+000D.
 SPACES = "\\x20\\x09-\\x0D"
 
+#: What a carried column's name begins with in an operator's result; no column of an operator does.
+CARRIED = "in."
+
 #: Bytes of an Arrow batch, and the setting as Spark has it where nobody chose one.
 BATCH_SIZE, SPARKS_SIZE = "8m", "67108864b"
 

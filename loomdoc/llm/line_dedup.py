@@ -5,8 +5,9 @@ the share of the host's pages that hold the line. Lines on more than `ratio` of
 the host's pages, and on at least `min_pages` of them, are boilerplate and go
 from every page of the host; blank lines stay. A page counts once however often
 it repeats a line. Null texts stay null, with no lines; a page may end up empty;
-repeated rows count as pages of their own; columns besides id, host and text
-pass through untouched.
+repeated rows count as pages of their own; an empty table stays empty. Other columns
+pass through untouched, but for one that has the name of a count: the count
+takes its place.
 
 A host has at most (lines a page) / ratio such lines, so its list is bounded; it
 is joined by host, as a broadcast while all hosts' lists hold at most
@@ -51,17 +52,17 @@ def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     small = found.count() <= broadcast_lines
     lists = found.groupBy("host").agg(F.collect_list("line_key").alias("_drop")).withColumnRenamed("host", "_host")
     d = docs.alias("d")
-    host = F.col(f"d.{host_col}").cast("string")
+    host = F.col(f"d.`{host_col}`").cast("string")
     if small:
         joined = d.join(F.broadcast(lists.alias("l")), host.eqNullSafe(F.col("l._host")), "left")
     else:
         lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col(f"d.{text_col}")), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(F.col(f"d.`{text_col}`")), F.lit(SALTS)).cast("int")
         joined = d.join(lists.alias("l"), host.eqNullSafe(F.col("l._host")) & (salt == F.col("l._salt")), "left")
-    t = F.col(f"d.{text_col}")
+    t = F.col(f"d.`{text_col}`")
     kept = F.filter(F.split(t, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("l._drop"), _key(x)))
     new = F.when(F.col("l._drop").isNull(), t).otherwise(F.array_join(kept, "\n"))
-    columns = [(new.alias(c) if c == text_col else F.col(f"d.`{c}`")) for c in docs.columns]
+    columns = [(new.alias(c) if c == text_col else F.col(f"d.`{c}`")) for c in docs.columns if not counts or c not in counts]
     if not counts:
         return joined.select(*columns)
     n_lines = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n")))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomdoc.llm import bpe, decontaminate, html_main, licences, line_dedup, lm, near_dup, quality, sharding, toxicity
 from loomdoc.session import table
 
@@ -59,7 +58,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_line_dedup, op2_license_scan, op3_sharding, op4_near_dedup, op5_quality_rules, op6_lm_scoring, op7_bpe, op8_toxicity, op9_decontamination, op10_main_text)
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bounded_sample, map_rows, remainder
+from loomdoc.llm.common import CARRIED, bounded_sample, map_rows, remainder
 
 #: Most labelled documents that the model is fitted on.
 LABELLED = 20_000
@@ -222,9 +222,9 @@ def logistic(points: list[tuple[float, float]], ridge: float = 1e-3) -> tuple[fl
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_passages and the toxic passages (first word, words, normalised score); no shuffle."""
+    """doc_id, held_out, score, predicted, n_passages and the toxic passages (first word, words, normalised score), with the carried columns named CARRIED before their names; no shuffle."""
     types = {c: docs.schema[c].dataType.simpleString() for c in (id_col, text_col, *carry)}
-    schema = f"doc_id {types[id_col]}, held_out boolean, score double, predicted int, n_passages int" + ", passages array<struct<first:int,length:int,score:double>>" * with_spans + "".join(f", `{c}` {types[c]}" for c in carry)
+    schema = f"doc_id {types[id_col]}, held_out boolean, score double, predicted int, n_passages int" + ", passages array<struct<first:int,length:int,score:double>>" * with_spans + "".join(f", `{CARRIED}{c}` {types[c]}" for c in carry)
 
     def start():
         weigh = Weigher(model).__getitem__
