@@ -73,17 +73,20 @@ def release_memory() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Where the session leaves the bytes of an Arrow batch to Spark, they become BATCH_SIZE: a batch of whole texts stands in the JVM and in the worker of every core at once."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, SPARKS_SIZE) == SPARKS_SIZE:
+        spark.conf.set(bound, BATCH_SIZE)
+
+
 def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[list[list]], Iterator[Sequence]]], block: int = 2_000) -> DataFrame:
     """mapInArrow by rows: start() runs once in a task and gives rows-in to rows-out, called with the columns of up to `block` rows.
 
     Output leaves in batches of at most `block` rows or so, so memory follows a
-    block of texts, not the partition. Where the session leaves the bytes of a
-    batch to Spark, they become BATCH_SIZE: a batch of whole texts stands in the
-    JVM and in the worker of every core at once.
+    block of texts, not the partition.
     """
-    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, SPARKS_SIZE) == SPARKS_SIZE:
-        spark.conf.set(bound, BATCH_SIZE)
+    bound_batches(df.sparkSession)
     spark_schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,9 @@ from loomdoc.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
 from loomdoc.llm.common import CARRIED
 from loomdoc.session import table, written
 
+#: Most rows of ids that are broadcast (16 bytes each).
+BROADCAST_ROWS = 200_000
+
 
 def _columns_back(judged: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs from a judgement that carried them all but the id."""
@@ -50,9 +53,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_rest(docs))
-    return _columns_back(found.where("n_hit = 0"), docs)
+    """Documents without a benchmark window. The verdict hangs on the text alone, so an id and its text's hash bring it back to the rows."""
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = written(judged.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), "text_hash").distinct(), "contaminated").alias("b")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.bad_id")) & (F.xxhash64(F.col("d.text")) == F.col("b.text_hash"))
+    return docs.alias("d").join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, same, "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
