@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there. row_group bounds the bytes of a row group, for large rows.
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """df as a Parquet table in the shared folder, with the writer's options: its lineage ends there.
 
     A lost executor costs only the files' rereading. The folder goes by
     dropped(), at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomdoc/{name}-{uuid.uuid4().hex}"
-    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
