@@ -30,11 +30,15 @@ class Filter:
         self.segments = segments or len(bits) * 8 // segment_bits
 
     @staticmethod
-    def place(keys: np.ndarray, level: int, row: int, segment_bits: int) -> np.ndarray:
-        """Bit places inside the segment by the row-th hash function of a level."""
+    def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and step of a level's bit places."""
         h = mix(keys.view(np.uint64) + seeded(1000 + level))
-        step = (h >> np.uint64(32)) | _ONE
-        return (((h + np.uint64(row) * step) & np.uint64(0xFFFFFFFF)) % np.uint64(segment_bits)).astype(np.int64)
+        return h, (h >> np.uint64(32)) | _ONE
+
+    @staticmethod
+    def place(h: np.ndarray, step: np.ndarray, row: int, segment_bits: int) -> np.ndarray:
+        """Bit places inside the segment by the row-th hash function; segment_bits is a power of two up to 2^32."""
+        return ((h + np.uint64(row) * step) & np.uint64(segment_bits - 1)).view(np.int64)
 
     def levels(self, keys: np.ndarray, most: int = 64) -> np.ndarray:
         """The highest level to which every level below is present."""
@@ -44,9 +48,12 @@ class Filter:
         for level in range(1, most + 1):
             if not len(at):
                 break
+            h, step = self.seeds(keys[at], level)
             for row in range(K_FIRST if level == 1 else K_NEXT):
-                bit = base[at] + self.place(keys[at], level, row, self.segment_bits)
-                at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                bit = base + self.place(h, step, row, self.segment_bits)
+                held = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if not held.all():
+                    at, base, h, step = at[held], base[held], h[held], step[held]
             out[at] = level
         return out
 
@@ -95,8 +102,9 @@ def build_parts(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BI
             base = (segment_of(keys, segments) - first) * segment_bits
             for level in range(1, int(levels.max(initial=0)) + 1):
                 at = levels >= level
+                h, step = Filter.seeds(keys[at], level)
                 for row in range(K_FIRST if level == 1 else K_NEXT):
-                    bits[base[at] + Filter.place(keys[at], level, row, segment_bits)] = True
+                    bits[base[at] + Filter.place(h, step, row, segment_bits)] = True
         return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     return ngrams.select("key", "level").mapInArrow(deal, "part int, keys binary, levels binary").groupBy("part").applyInArrow(fill, "part int, bits binary")
@@ -105,7 +113,7 @@ def build_parts(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BI
 def build(ngrams: DataFrame, segments: int, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
     """The bits of all segments, for a filter small enough to be sent."""
     out = np.zeros(segments * segment_bits // 8, np.uint8)
-    for r in build_parts(ngrams, segments, segment_bits).collect():  # the caller bounds the segments
+    for r in build_parts(ngrams, segments, segment_bits).toLocalIterator():  # the caller bounds the segments
         at = r.part * PART_SEGMENTS * segment_bits // 8
         out[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
     return out

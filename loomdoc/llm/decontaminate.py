@@ -375,7 +375,7 @@ def covered(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document row: doc_id, text_hash (xxhash64 of the text), n_words, n_hit, spans of hit words, items with occurring windows, near_items (empty without slack)."""
-    stored = written(index(docs, id_col, text_col), "postings", row_group=ROW_GROUP)
+    stored = written(index(docs, id_col, text_col), "postings", **{"parquet.block.size": ROW_GROUP})
     found = None
     for part in blocks(benchmark, item_col, item_text_col, block_chars):
         block = block_of([(r["item"], bytes(r["item_text"])) for r in part.collect()], window)  # at most about block_chars

@@ -248,18 +248,77 @@ def test_lm_knows_pairs_of_count_one(spark):
             assert (n[0], level[0]) == (1, 1)
 
 
+def slow_scores(docs):
+    """The model's definition with exact counts: level means, eighths of octaves, weights by EM over left-out occurrences."""
+    split = {i: [*(t or "").lower().split(), None] for i, t in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in split}
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, w in split.items():
+        if not held[i]:
+            words.update(w)
+            pairs.update(zip(w, w[1:]))
+    level = lambda n: int(math.floor(math.log2(n))) + 1 if n else 0
+    mean = {}
+    for kind, counts in (("word", words), ("pair", pairs)):
+        by = collections.defaultdict(list)
+        for n in counts.values():
+            by[level(n)].append(n)
+        mean[kind] = {0: 0.0} | {k: sum(v) / len(v) for k, v in by.items()}
+    n, v = sum(words.values()), len(words)
+
+    def token(a, b, out):
+        c = lambda x: max(mean["word"][level(words[x])] - out, 0)
+        p = min(1.0, (c(b) + 0.1) / (n + 0.1 * (v + 1)))
+        q = min(1.0, max(mean["pair"][level(pairs[a, b])] - out, 0) / max(1.0, c(a)))
+        r = 2 ** (min(round(8 * math.log2(q / p)), math.floor(-8 * math.log2(p))) / 8) if q > 0 else 0.0
+        return p, r
+
+    seen = collections.defaultdict(collections.Counter)
+    for i, w in split.items():
+        if not held[i]:
+            for a, b in zip(w, w[1:]):
+                seen[level(words[a])][token(a, b, 1)[1]] += 1
+    weight = collections.defaultdict(float)
+    for lv, rs in seen.items():
+        x = 0.3
+        for _ in range(200):
+            x = sum(k * x * r / (x * r + 1 - x) for r, k in rs.items()) / sum(rs.values())
+        weight[lv] = min(max(x, 1e-4), 0.95)
+    out = {}
+    for i, w in split.items():
+        total = math.log10(min(1.0, (mean["word"][level(words[w[0]])] + 0.1) / (n + 0.1 * (v + 1))))
+        for a, b in zip(w, w[1:]):
+            p, r = token(a, b, 0)
+            x = weight[level(words[a])]
+            total += math.log10(p * (x * r + 1 - x))
+        out[i] = total
+    return out
+
+
+def test_lm_scores_equal_brute_force(spark):
+    rng = random.Random(14)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(80)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, *lm.fit(df)).collect()}
+    want = slow_scores(docs)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    # a model scores other texts by the weights of its own
+    model, counts = lm.fit(df)
+    few = df.where("doc_id < 7")
+    assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in lm.score(few, model, counts).collect())
+
+
 def test_lm_mixing_weights_come_from_all_training_rows(spark):
     # only the last of 1,201 documents has words of this level
     docs = [(i, f"a{i} b{i}") for i in range(1_200)] + [(1_205, "left right " * 3_000)]
     assert zlib.crc32(b"1205") % 10
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    model, _ = lm.fit(df)
     level = int(math.log2(3_000)) + 1
-    assert model.mixing[level] > 0.5
     # rows without an id are training rows, too
-    texts = [(None, t) for _, t in docs]
-    free, _ = lm.fit(spark.createDataFrame(texts, "doc_id long, text string"))
-    assert free.mixing[level] > 0.5
+    for rows in (docs, [(None, t) for _, t in docs]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        model, counts = lm.fit(df)
+        lm.score(df, model, counts)
+        assert model.mixing[level] > 0.5
 
 
 def test_lm_filter_beyond_the_broadcast_bound_is_joined(spark, monkeypatch):
@@ -272,7 +331,8 @@ def test_lm_filter_beyond_the_broadcast_bound_is_joined(spark, monkeypatch):
     for bound in (lm.MODEL_BITS, 1):
         model, counts = lm.fit(df, model_bits=bound)
         assert (model.stored is None) == (bound > 1)
-        runs.append((model.mixing.tolist(), sorted(tuple(r) for r in lm.score(df, model, counts).collect())))
+        scored = sorted(tuple(r) for r in lm.score(df, model, counts).collect())
+        runs.append((model.mixing.tolist(), scored))
     assert runs[0] == runs[1] and len(runs[0][1]) == 80
 
 
