@@ -247,7 +247,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
         labels = components(first)
         rest = written(_rest_links(sets, labels, percent, id_type), "links")
     final = labels if rest.isEmpty() else written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
-    who = sk.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep")
-    found = who.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    # rows without a set stay out of the joins, where their null keys would meet in one task
+    id_type = sk.schema["doc_id"].dataType
+    who = sk.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep")
+    found = who.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", "rep", "component")
+    found = found.unionByName(sk.where("n_shingles = 0").select("doc_id", "n_shingles", *(F.lit(None).cast(id_type).alias(c) for c in ("rep", "component"))))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomdoc.llm import bpe, components, decontaminate, html_main, licences, line_dedup, lm, near_dup, quality, sharding, toxicity
+from loomdoc.llm import bpe, components, decontaminate, licences, line_dedup, lm, near_dup, quality, sharding, toxicity
 
 ODD = [(None, None, None), (1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, "x", "a"), (5, "x", "a"), (5, "x", "a"), (6, "word " * 30_000, "b")]
 
@@ -201,17 +201,6 @@ def test_decontamination_blocks_and_brute_force(spark):
     assert near["items"] == [] and near.near_items == ["1"]
 
 
-def test_main_text(spark):
-    page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home page</a></nav><div class="ad">Buy now please</div><article><h1>Head &amp; line</h1><p>First   <b>par</b>t.<p>Second.<div class="comments">Nice one</div></article><footer>&copy; us</footer><script>var x="<p>no</p>"</script>'
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<nav>menu</nav>"), (5, "u", "<div><p>Plain words in a page without labels.</p></div>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in html_main.extract(df).collect()}
-    assert got[1].text == "Head & line First part. Second."
-    assert got[1].n_chars == len(got[1].text)
-    assert [got[i].text for i in (2, 3, 4)] == ["", "", ""]
-    assert got[5].text == "Plain words in a page without labels."
-
-
 def test_lm_counts_and_filter(spark):
     rng = random.Random(4)
     docs = [(i, " ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(50))) for i in range(60)]
@@ -354,9 +343,3 @@ def test_line_dedup_shuffled_join_equals_broadcast(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     a, b = ({tuple(r) for r in line_dedup.dedup_lines(df, 0.1, 3, broadcast_lines=n).collect()} for n in (10, 0))
     assert a == b and (1, "own 1\n", "a", 4, 2) in a and (0, "own 0", None, 1, 0) in a
-
-
-def test_licences(spark):
-    got = licences.scan(spark.createDataFrame([(1, "Intro text.\nReleased under the  MIT license\nmore"), (2, "nothing here")], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert (got[0].n_license_units, got[0].licenses, got[0].hits[0].unit) == (1, "mit", 2)
-    assert (got[1].n_license_units, got[1].licenses) == (0, "")
