@@ -1,4 +1,4 @@
-"""The registered queries against their SQL, and the pipeline against its stages."""
+"""The registered queries against their SQL."""
 
 import duckdb
 import pytest
@@ -17,17 +17,3 @@ def test_query_equals_its_sql(spark, sf, name):
     assert cols == sorted(b.columns)
     a, b = (x[cols].astype({c: str for c in cols}).sort_values(cols).reset_index(drop=True) for x in (a, b))
     assert a.equals(b)
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == columns, name
-        assert 0 < out.count() <= docs.count(), name
-        docs = p.written(out, "test")
-    final = {r.doc_id for r in p.run(spark, sf).collect()}
-    assert final == {r.doc_id for r in docs.collect()} and 0 < len(final) < n
