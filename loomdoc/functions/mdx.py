@@ -63,7 +63,8 @@ def drop_exports(c: Column) -> Column:
             F.when(block | (a["skip"] & (d > 0)), d).otherwise(0).alias("depth"),
         )
 
-    return F.aggregate(lines, zero, step, lambda a: F.array_join(a["out"], "\n"))
+    # most texts have no export, and then nothing is folded
+    return F.when(c.rlike(r"(?m)^\s*export "), F.aggregate(lines, zero, step, lambda a: F.array_join(a["out"], "\n"))).otherwise(c)
 
 
 def _marked(c: Column, pattern: str, kind: str, attributes: bool) -> Column:

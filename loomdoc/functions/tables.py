@@ -40,11 +40,36 @@ def headers(row: Column) -> Column:
     """Lower-case names of word characters, `column_i` where there is none, a free suffix where a name is taken."""
     names = F.transform(row, lambda c, i: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"(?U)\W+", "_"), "^_+|_+$", ""), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
 
-    def free(taken: Column, name: Column) -> Column:
-        tries = F.concat(F.array(name), F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: F.concat(name, F.lit("_"), k.cast("string"))))
-        return F.concat(taken, F.array(F.get(F.filter(tries, lambda x: ~F.array_contains(taken, x)), F.lit(0))))
+    def free(all_names: Column) -> Column:
+        """Names in turn; one that is taken gets the first free number, which is no less than the count of its equals."""
 
-    return F.aggregate(names, F.array().cast("array<string>"), free)
+        def step(taken: Column, x: Column) -> Column:
+            name, nth = x["name"], x["nth"]
+            tried = lambda k: F.concat(name, F.lit("_"), k.cast("string"))
+            search = F.get(F.filter(F.transform(F.sequence(F.lit(2), F.size(taken) + 2), tried), lambda t: ~F.array_contains(taken, t)), F.lit(0))
+            own = F.when(~F.array_contains(taken, name), name).when(~F.array_contains(taken, tried(nth)), tried(nth)).otherwise(search)
+            return F.concat(taken, F.array(own))
+
+        # where no name looks like a numbered other one, the numbers can't meet
+        numbers = r"_\d+$"
+        meet = F.exists(all_names, lambda n: n.rlike(numbers) & F.array_contains(all_names, F.regexp_replace(n, numbers, "")))
+        numbered = F.zip_with(all_names, equals_before(all_names), lambda n, k: F.struct(n.alias("name"), k.alias("nth")))
+        apart = F.transform(numbered, lambda x: F.when(x["nth"] == 1, x["name"]).otherwise(F.concat(x["name"], F.lit("_"), x["nth"].cast("string"))))
+        return F.when(meet, F.aggregate(numbered, F.array().cast("array<string>"), step)).otherwise(apart)
+
+    return let(names, lambda n: F.when(F.size(F.array_distinct(n)) == F.size(n), n).otherwise(free(n)))
+
+
+def equals_before(names: Column) -> Column:
+    """For every name, how many of its equals there are up to it; by one sort."""
+    zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("nth"), F.array().cast("array<struct<i:int,nth:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        nth = F.when(a["name"] == x["name"], a["nth"] + 1).otherwise(1)
+        return F.struct(x["name"].alias("name"), nth.alias("nth"), F.concat(a["out"], F.array(F.struct(x["i"].alias("i"), nth.alias("nth")))).alias("out"))
+
+    placed = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("i"))))
+    return F.transform(F.array_sort(F.aggregate(placed, zero, step, lambda a: a["out"])), lambda x: x["nth"])
 
 
 def parse(rows: Column) -> Column:

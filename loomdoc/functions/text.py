@@ -70,8 +70,8 @@ def list_item(c: Column | str) -> Column:
 
 
 def step_item(c: Column | str) -> Column:
-    """A procedure step without bullet and number."""
-    return collapse(F.regexp_replace(F.regexp_replace(strip(c), "^[-*• ]+", ""), r"^\d+[.)]\s*", ""))
+    """A procedure step without its bullet mark and its number."""
+    return collapse(F.regexp_replace(F.regexp_replace(strip(c), r"^\s*[-*•]\s*", ""), r"^\s*\d+[.)]\s*", ""))
 
 
 def slug(c: Column | str) -> Column:
@@ -126,20 +126,23 @@ def preview(c: Column | str, n: int = 120) -> Column:
 
 
 def pack(parts: Column, limit: int | Column, sep: str = " ") -> Column:
-    """Greedy groups: a part opens a new group when the open one is not empty and would pass the limit."""
+    """Greedy groups: a part opens a new group when the open one is not empty and would pass the limit.
+
+    The fold runs over token counts and keeps the places where groups begin, so
+    no text is copied before its group is joined.
+    """
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        t = tokens(x)
-        full = (F.size(acc["open"]) > 0) & (acc["n"] + t > limit)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["open"], sep)))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.concat(acc["open"], F.array(x))).alias("open"),
-            F.when(full, t).otherwise(acc["n"] + t).alias("n"),
-        )
-
-    return F.aggregate(parts, zero, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], sep)))).otherwise(acc["done"]))
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens = (acc["at"] == 0) | (acc["n"] + t > limit)
+        return F.struct(F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"), (acc["at"] + 1).alias("at"), F.when(opens, t).otherwise(acc["n"] + t).alias("n"))
+
+    def groups(p: Column) -> Column:
+        starts = F.aggregate(F.transform(p, tokens), zero, step, lambda acc: acc["starts"])
+        return let(starts, lambda s: F.transform(s, lambda first, k: F.array_join(F.slice(p, first + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - first), sep)))
+
+    return let(parts, groups)
 
 
 def hard_cut(c: Column | str, chars: int) -> Column:

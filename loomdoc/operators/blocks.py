@@ -36,11 +36,12 @@ def blocks(sections: DataFrame) -> DataFrame:
 
     stacked = sections.withColumn("_stacks", C.stacks(F.col("content")))
     rows = stacked.select("doc_id", "section_id", "section_index", "heading", "context", F.posexplode(F.arrays_zip("content", "_stacks")).alias("source_index", "z"))
-    rows = rows.select("doc_id", "section_id", "section_index", "heading", "context", "source_index", F.col("z.content").alias("e"), C.format_stack(F.col("z._stacks")).alias("local_context"))
+    rows = rows.select("doc_id", "section_id", "section_index", "heading", "context", "source_index", F.col("z.content").alias("e"), C.merged(F.col("z._stacks"), F.lit("")).alias("m"))
+    rows = rows.select("*", "m.*").drop("m")
     rows = rows.select("*", F.posexplode(units(F.col("e"))).alias("unit_index", "u")).where("u.text <> ''")
     index = F.row_number().over(Window.partitionBy("doc_id", "section_index").orderBy("source_index", "unit_index")) - 1
     base = S.base_type(F.when(F.col("e.type").startswith("component"), "component").otherwise(F.col("e.type")))
-    b = rows.select("doc_id", "section_id", "section_index", "heading", "context", "local_context", "source_index", F.col("e.type").alias("source_type"), F.coalesce("e.ordered", F.lit(False)).alias("ordered"), "e.language", index.alias("block_index"), base.alias("type"), F.col("u.form").alias("form"), F.col("u.text").alias("text"))
+    b = rows.select("doc_id", "section_id", "section_index", "heading", "context", "local_context", "component_context", "component_name", "component_props", "source_index", F.col("e.type").alias("source_type"), F.coalesce("e.ordered", F.lit(False)).alias("ordered"), "e.language", index.alias("block_index"), base.alias("type"), F.col("u.form").alias("form"), F.col("u.text").alias("text"))
     b = b.withColumn("id", F.concat_ws(":", F.col("doc_id").cast("string"), "section_id", F.concat(F.lit("b"), F.col("block_index").cast("string")))).withColumn("signals", S.signals("text"))
     where = S.contexts(F.col("heading"), F.col("context"), F.col("local_context"))
     f = S.function_of(F.col("type"), F.col("text"), F.col("signals"), F.col("ordered"), where)

@@ -35,10 +35,9 @@ def structure(types: Column) -> Column:
     return F.struct(has("table", "generic_table").alias("has_table"), has("list").alias("has_list"), has("code").alias("has_code"), has("procedure").alias("has_procedure"))
 
 
-def intent(types: Column, ordered: Column) -> Column:
-    """procedural for ordered lists and procedures, reference for tables and code, else descriptive."""
-    s = structure(types)
-    return F.when(ordered | s["has_procedure"], "procedural").when(s["has_table"] | s["has_code"], "reference").otherwise("descriptive")
+def intent(types: Column) -> Column:
+    """procedural for procedures, reference for tables and code, else descriptive."""
+    return let(structure(types), lambda s: F.when(s["has_procedure"], "procedural").when(s["has_table"] | s["has_code"], "reference").otherwise("descriptive"))
 
 
 def _pieces(texts: Column, subtype: str, split: bool = False, row: bool = False) -> Column:
@@ -64,31 +63,34 @@ def list_pieces(items: Column) -> Column:
 
 
 def step_pieces(items: Column) -> Column:
-    """Steps, if there are enough; overlong ones are left out."""
-    steps = F.filter(F.transform(items, step_item), lambda x: x != "")
-    return let(steps, lambda s: F.when(F.size(s) >= STEPS, _pieces(F.filter(s, lambda x: tokens(x) <= STEP), "procedure_step")).otherwise(F.array().cast(PIECE)))
+    """Steps, if enough of them are neither empty nor overlong; else none."""
+    steps = F.filter(F.transform(items, step_item), lambda x: (x != "") & (tokens(x) <= STEP))
+    return let(steps, lambda s: F.when(F.size(s) >= STEPS, _pieces(s, "procedure_step")).otherwise(F.array().cast(PIECE)))
 
 
 def block_pieces(e: Column) -> Column:
+    """The chunks of a block by its intent and structure: tables with their text, code as it is, every list as steps where it can be and as items else, and text."""
+    types = F.array(e["type"])
     rows = T.table_texts(T.parse(e["rows"]))
-    steps, items = step_pieces(e["items"]), list_pieces(e["items"])
-    return (
-        F.when(e["type"] == "paragraph", text_pieces(e["text"]))
-        .when((e["type"] == "list") & e["ordered"], let(steps, lambda s: F.when(F.size(s) > 0, s).otherwise(items)))
-        .when(e["type"] == "list", items)
-        .when(e["type"] == "table", let(rows, lambda r: F.concat(_pieces(r, "table_row", row=True), text_pieces(F.array_join(r, "\n")))))
-        .when(e["type"] == "code", _pieces(F.filter(F.array(clean_text(e["text"])), lambda x: x != ""), "code_block"))
-        .otherwise(text_pieces(F.coalesce(e["text"], F.lit(""))))
-    )
 
+    def routed(what: Column) -> Column:
+        return (
+            F.when((what == "reference") & structure(types)["has_table"], let(rows, lambda r: F.concat(_pieces(r, "table_row", row=True), text_pieces(F.array_join(r, "\n")))))
+            .when(what == "reference", _pieces(F.filter(F.array(clean_text(e["text"])), lambda x: x != ""), "code_block"))
+            .when(structure(types)["has_list"], let(step_pieces(e["items"]), lambda s: F.when(F.size(s) > 0, s).otherwise(list_pieces(e["items"]))))
+            .otherwise(text_pieces(F.coalesce(e["text"], F.lit(""))))
+        )
 
-def anchored(text: Column, path: Column, heading: Column, context: Column) -> Column:
-    """The text below its parent heading, without a prefix that it repeats."""
-    anchor = F.coalesce(F.when(F.size(path) > 0, F.element_at(path, -1)), F.lit(""))
+    return let(intent(types), routed)
+
+
+def anchored(text: Column, path: Column) -> Column:
+    """The text below its parent heading, without that heading where the text begins with it."""
+    anchor = F.coalesce(F.when(F.size(path) > 0, strip(F.element_at(path, -1))), F.lit(""))
 
     def below(t: Column) -> Column:
-        bare = F.when((anchor != "") & F.startswith(F.lower(t), F.lower(anchor)), F.regexp_replace(F.substring(t, F.length(anchor) + 1, F.length(t)), r"^[\s:.\-]+", "")).otherwise(t)
-        return let(bare, lambda b: F.when((anchor == "") | (b == ""), t).otherwise(F.concat(anchor, F.lit("\n\n"), b)))
+        bare = F.when(F.startswith(F.lower(t), F.lower(anchor)), strip(F.substring(t, F.length(anchor) + 1, F.length(t)))).otherwise(t)
+        return F.when((anchor == "") | (t == ""), t).otherwise(F.concat(anchor, F.lit("\n\n"), bare))
 
     return let(strip(text), below)
 
@@ -113,7 +115,7 @@ def enforce_limit(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     chunks = chunks.withColumn("_cut", large)
     parts = F.when(F.col("_cut"), F.transform(split_large(F.col("text"), limit), lambda x, i: F.struct(x.alias("text"), i.alias("part")))).otherwise(F.array(F.struct(F.col("text").alias("text"), F.col("split_part").alias("part"))))
     cut = chunks.select("*", F.posexplode(parts).alias("_i", "_p"))
-    again = F.when(F.col("_cut"), anchored(F.col("_p.text"), F.col("heading_path"), F.col("heading"), F.col("context"))).otherwise(F.col("_p.text"))
+    again = F.when(F.col("_cut"), anchored(F.col("_p.text"), F.col("heading_path"))).otherwise(F.col("_p.text"))
     cut = cut.withColumn("text", again).withColumn("split_part", F.col("_p.part"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "_i")) - 1
     return cut.withColumn("tokens", tokens("text")).withColumn("seq", order.cast("bigint")).drop("_i", "_p", "_cut")
@@ -127,7 +129,7 @@ def chunks(sections: DataFrame, source: str | None = None) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_index", "block_index", "piece_index")) - 1
     kind = F.when(F.col("e.type") == "table", "generic_table").otherwise(F.col("e.type"))
     src = F.lit(source) if source is not None else F.col("doc_id").cast("string")
-    out = rows.select("doc_id", order.cast("bigint").alias("seq"), anchored(F.col("p.text"), F.col("path"), F.col("heading"), F.col("context")).alias("text"), F.col("e.type").alias("chunk_type"), F.col("p.subtype").alias("subtype"), "heading", "context", F.col("path").alias("heading_path"), F.array(kind).alias("content_types"), "command_context", src.alias("source"), F.col("p.split_part").alias("split_part"), F.col("p.row_index").alias("row_index"))
+    out = rows.select("doc_id", order.cast("bigint").alias("seq"), F.when(F.col("p.subtype") == "code_block", F.col("p.text")).otherwise(anchored(F.col("p.text"), F.col("path"))).alias("text"), F.col("e.type").alias("chunk_type"), F.col("p.subtype").alias("subtype"), "heading", "context", F.col("path").alias("heading_path"), F.array(kind).alias("content_types"), "command_context", src.alias("source"), F.col("p.split_part").alias("split_part"), F.col("p.row_index").alias("row_index"))
     out = enforce_limit(out.withColumn("tokens", tokens("text")))
     return out.withColumn("chunk_id", chunk_id(F.col("source"), F.col("heading"), F.col("context"), F.col("text")))
 

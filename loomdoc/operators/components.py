@@ -46,7 +46,17 @@ def stacks(events: Column) -> Column:
         )
         return F.struct(new.alias("stack"), F.concat(a["all"], F.array(new)).alias("all"))
 
-    return F.aggregate(events, zero, step, lambda a: a["all"])
+    nested = F.exists(events, lambda e: e["type"].isin("component_open", "component_close"))
+    none = F.array().cast(f"array<{FRAME}>")
+    return F.when(nested, F.aggregate(events, zero, step, lambda a: a["all"])).otherwise(F.transform(events, lambda e: none))
+
+
+def merged(stack: Column, local: Column) -> Column:
+    """What a stack adds to a block: component_context, component_name and component_props of its innermost frame, and local_context below the components'."""
+    context, base = format_stack(stack), F.trim(F.coalesce(local, F.lit("")))
+    top = F.when(F.size(stack) > 0, F.element_at(stack, -1))
+    whole = F.when((context != "") & (base != ""), F.concat(context, F.lit(" > "), base)).when(context != "", context).otherwise(base)
+    return F.struct(context.alias("component_context"), F.coalesce(top["name"], F.lit("")).alias("component_name"), top["props"].alias("component_props"), whole.alias("local_context"))
 
 
 def resolve(item: Column, meta: Column, section: Column) -> Column:

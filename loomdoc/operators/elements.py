@@ -20,8 +20,8 @@ ELEMENT = "struct<pos:int,type:string,level:int,text:string,items:array<string>,
 
 _FENCE = re.compile(r"^(`{3,}|~{3,})\s*([^`]*)$")
 _HEADING = re.compile(r"^(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
-_BULLET = re.compile(r"^[-*+]\s+(.*)$")
-_NUMBER = re.compile(r"^(\d{1,9})[.)]\s+(.*)$")
+_BULLET = re.compile(r"^([-*+])\s+(.*)$")
+_NUMBER = re.compile(r"^(\d{1,9})([.)])\s+(.*)$")
 _RULE = re.compile(r"^(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$")
 _DELIMITER = re.compile(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$")
 _MARKER = re.compile(r"^::mdx-component-(open|close|self)\s+(.*)$")
@@ -44,6 +44,7 @@ class Blocks:
             kind = self.open["type"]
             if kind == "paragraph":
                 self.open["text"] = "\n".join(self.open.pop("lines")).strip()
+            self.open.pop("mark", None)
             if kind == "code":
                 self.open["text"] = "\n".join(self.open.pop("lines")).rstrip("\n")
                 self.open.pop("fence")
@@ -110,10 +111,11 @@ def parse(text: str | None) -> list[dict]:
             b.open = _element("table", rows=[_cells(line)])
         elif (m := _BULLET.match(line)) or (m := _NUMBER.match(line)) and not (b.is_open("paragraph") and m[1] != "1"):
             ordered = m.re is _NUMBER
-            if not (b.is_open("list") and b.open["ordered"] == ordered):
+            mark = m[2 if ordered else 1]  # another bullet or delimiter begins another list
+            if not (b.is_open("list") and b.open["mark"] == mark):
                 b.close()
-                b.open = _element("list", items=[], ordered=ordered)
-            b.open["items"].append(m[2 if ordered else 1].strip())
+                b.open = _element("list", items=[], ordered=ordered, mark=mark)
+            b.open["items"].append(m[3 if ordered else 2].strip())
         elif b.is_open("list") and not after_blank:
             b.open["items"][-1] += f"\n{line}"  # a lazy line belongs to the item
         elif b.is_open("paragraph"):
@@ -129,6 +131,33 @@ def parse(text: str | None) -> list[dict]:
     return [{"pos": k, **e} for k, e in enumerate(kept)]
 
 
+def grouped(found: list[dict]) -> list[dict]:
+    """The elements by heading section: section_index, heading, path (the heading's ancestors) and content; sections without content, too."""
+    out = [{"section_index": 0, "heading": "Overview", "path": [], "content": []}]
+    above: list[tuple[int, str]] = []
+    for e in found:
+        if e["type"] == "heading":
+            while above and above[-1][0] >= e["level"]:
+                above.pop()
+            out.append({"section_index": len(out), "heading": e["text"], "path": [t for _, t in above], "content": []})
+            above.append((e["level"], e["text"]))
+        else:
+            out[-1]["content"].append(e)
+    return out
+
+
+def sectioned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and `sections`, its sections with content in order; one row for each document."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield pd.DataFrame({"doc_id": df["doc_id"], "sections": df["t"].map(lambda t: [x for x in grouped(parse(t)) if x["content"]])})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(run, f"doc_id {id_type}, sections array<struct<section_index:int,heading:string,path:array<string>,content:array<{ELEMENT}>>>")
+
+
 def parse_elements(c: Column) -> Column:
     """The elements of each text, as an array column."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions import tables as T
 from loomdoc.functions.text import clean_inline, collapse, keywords, slug, split_words, strip
+from loomdoc.operators.elements import sectioned
 
 
 def with_paths(elements: DataFrame) -> DataFrame:
@@ -67,19 +68,32 @@ def command_context(path: Column, heading: Column) -> Column:
 
 
 def sections(elements: DataFrame) -> DataFrame:
-    """One row for each section with content, its elements in order as `content`."""
+    """One row for each section with content of an element table, its elements in order as `content`."""
     e = with_paths(elements)
     content = e.where("type <> 'heading'").groupBy("doc_id", "section_index").agg(
         F.min("heading").alias("heading"),
         F.first("path").alias("path"),
         F.array_sort(F.collect_list(F.struct("pos", "type", "level", "text", "items", "ordered", "rows", "language", "name", "props"))).alias("content"),
     )
-    texts = content.withColumn("text", F.array_join(F.filter(F.flatten(F.transform("content", part_texts)), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n"))
+    return described(content.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "heading", "path", "content"))).alias("sections")))
+
+
+def document_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same of documents' cleaned texts, within each row: no shuffle."""
+    return described(sectioned(docs, id_col, text_col))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """One row for each section of doc_id and `sections`, in their order; paragraphs of fewer than three characters are left out."""
+    kept = lambda x: (x["type"] != "paragraph") | (F.length(clean_inline(x["text"])) >= 3)
+    whole = F.transform("sections", lambda x: F.struct(x["section_index"].alias("section_index"), x["heading"].alias("heading"), x["path"].alias("path"), F.filter(x["content"], kept).alias("content")))
+    rows = docs.select("doc_id", F.posexplode(F.filter(whole, lambda x: F.size(x["content"]) > 0)).alias("section_order", "s")).select("doc_id", "section_order", "s.*")
+    texts = rows.withColumn("text", F.array_join(F.filter(F.flatten(F.transform("content", part_texts)), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n"))
     types = F.array_distinct(F.transform("content", lambda x: F.when(x["type"] == "table", "generic_table").when(x["type"].startswith("component"), "component").otherwise(x["type"])))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_index")) - 1
+    order = F.col("section_order")
     return texts.select(
         "doc_id",
-        order.alias("section_order"),
+        "section_order",
         "section_index",
         F.concat(F.lit("s"), order.cast("string"), F.lit("_"), slug("heading")).alias("section_id"),
         "heading",
@@ -113,12 +127,10 @@ def structure_profile(sections: DataFrame) -> DataFrame:
 
 
 def list_clean(items: Column) -> Column:
-    """Items without bullets, distinct, of at least two characters."""
-    return F.array_distinct(F.filter(F.transform(items, lambda x: collapse(F.regexp_replace(strip(x), r"^([-*•]|\d+[.)])\s*", ""))), lambda x: F.length(x) >= 2))
+    """Items without outer white space, empty ones out."""
+    return F.filter(F.transform(items, lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
 
 
 def list_ordered(items: Column) -> Column:
-    """Whether at least half of the items, and one, begin with a number."""
-    return F.size(F.filter(items, lambda x: strip(x).rlike(r"^\d+[.)]"))) >= F.greatest(F.lit(1), F.floor(F.size(items) / 2))
-
-
+    """Whether at least half of the items, and one, begin with a digit and a stop or bracket."""
+    return F.size(F.filter(items, lambda x: x.rlike(r"(?s)^\s*\p{Nd}[.)].") )) >= F.greatest(F.lit(1), F.floor(F.size(items) / 2))

@@ -85,8 +85,7 @@ def chunk_score_rank(spark, sf_dir):
 
 @query
 def dedupe_first200(spark, sf_dir):
-    w = Window.partitionBy(validate.dedupe_key(F.col("text"))).orderBy("doc_id")
-    return _docs(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id")
+    return _docs(spark, sf_dir).groupBy(validate.dedupe_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query
@@ -104,7 +103,7 @@ def signal_flags(spark, sf_dir):
 
 def _classified(spark, sf_dir):
     """Lines as blocks: every fifth one code, every third one a list item."""
-    df = _lines(spark, sf_dir).withColumn("type", F.when(F.col("pos") % 5 == 4, "code").when(F.col("pos") % 3 == 1, "list").otherwise("text")).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat(F.lit("Run: check "), F.col("line"))).when(F.col("pos") % 5 == 4, F.concat(F.lit("x = "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    df = _lines(spark, sf_dir).withColumn("type", F.when(F.col("pos") % 5 == 4, "code").when(F.col("pos") % 3 == 1, "list").otherwise("text")).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat(F.lit("Run: check "), F.col("line"))).when(F.col("pos") % 5 == 4, F.concat(F.lit("x = "), F.col("line"))).otherwise(F.col("line")))
     df = df.withColumn("signals", signals.signals("line"))
     where = signals.contexts(F.lit("Overview"), F.lit("Overview"), F.lit(""))
     return df.withColumn("f", signals.function_of(F.col("type"), F.col("line"), F.col("signals"), F.col("pos") % 2 == 0, where)).select("doc_id", "pos", "type", F.col("line").alias("text"), "signals", "f.function", "f.confidence")
@@ -129,13 +128,13 @@ def nearest_instruction(spark, sf_dir):
 
 @query
 def heading_stack(spark, sf_dir):
-    e = _lines(spark, sf_dir).select("doc_id", "pos", F.lit("heading").alias("type"), (F.col("pos") * 7 % 3 + F.length("line") % 3 + 1).cast("int").alias("level"), F.substring("line", 1, 12).alias("text"))
+    e = _lines(spark, sf_dir).select("doc_id", "pos", F.lit("heading").alias("type"), (F.col("pos") * 7 % 3 + F.length("line") % 3 + 1).cast("int").alias("level"), F.col("line").alias("text"))
     return sections.with_paths(e).select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join("path", " > ").alias("path"))
 
 
 def _rows(spark, sf_dir):
-    """Each document as a table: words of its first lines as cells."""
-    return _docs(spark, sf_dir).select("doc_id", tables.parse(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.slice(F.split(F.trim(x), " +"), 1, 4))).alias("t")).where("t IS NOT NULL")
+    """Each document as a table: its lines as rows, their words as cells."""
+    return _docs(spark, sf_dir).select("doc_id", tables.parse(F.transform(F.split("text", "\n"), lambda x: F.split(F.trim(x), " +"))).alias("t")).where("t IS NOT NULL")
 
 
 @query
@@ -157,8 +156,19 @@ def _queries(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
-    found = retrieval.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(found, "query_id", [F.desc("score"), F.col("id")], 12).select("query_id", F.col("id").alias("doc_id"), "score", F.round("scaled", 5).alias("scaled"), F.col("rank").cast("long").alias("rank"))
+    found = retrieval.bm25_top_k(_docs(spark, sf_dir), _queries(spark, sf_dir), 12)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("scaled", 5).alias("scaled"), F.col("rank").cast("long").alias("rank"))
+
+
+def _kind(c):
+    return F.when(F.col(c) % 3 == 0, "command").when(F.col(c) % 3 == 1, "flag").otherwise("text")
+
+
+@query
+def keyword_search(spark, sf_dir):
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("heading"), F.lit("").alias("context"), F.array(F.lit("guide"), F.col("source")).alias("keywords"), "text", _kind("doc_id").alias("type"))
+    asked = _queries(spark, sf_dir).withColumn("query", F.concat(F.when(F.col("query_id") % 10 < 5, "Command ").otherwise("guide "), F.col("query")))
+    return retrieval.keyword_search(chunks, asked, 10).select("query_id", F.col("id").alias("doc_id"), "type", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _nearest(spark, sf_dir):
@@ -176,13 +186,20 @@ def minmax_normalise(spark, sf_dir):
     return _nearest(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round(retrieval.min_max("score", "query_id"), 4).alias("scaled"))
 
 
+@query
+def vector_search(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), "embedding", _kind("vec_id").alias("type"), "vec_id")
+    found = retrieval.vector_search(e, e.where("vec_id % 100 = 0"), 12, "id", "embedding")
+    return found.select("query_id", "id", "type", F.round("score", 4).alias("score"))
+
+
 def _two_lists(spark, sf_dir):
-    """Two ranked lists of lines for every document with lines: the first by length, the second by place."""
-    lines = _lines(spark, sf_dir).where("pos < 6").select(F.col("doc_id").alias("query_id"), F.concat(F.substring("line", 1, 30), F.lit("#"), F.col("pos").cast("string")).alias("text"), "pos", F.when(F.col("pos") % 3 == 0, "command").when(F.col("pos") % 3 == 1, "flag").otherwise("text").alias("type"))
+    """Two ranked lists of lines for every document with lines, by place: every second line in the first, others and every fourth in the second."""
+    lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.concat("line", F.lit("#"), F.col("pos").cast("string")).alias("text"), "pos", _kind("pos").alias("type"))
     w = Window.partitionBy("query_id").orderBy("pos")
     lines = lines.withColumn("rank", F.row_number().over(w))
     vector = lines.where("pos % 2 = 0").select("query_id", "text", "type", (1.0 / (F.col("pos") + 1)).alias("score"), "rank")
-    keyword = lines.where("pos < 4").select("query_id", "text", "type", (0.25 * (4 - F.col("pos"))).cast("double").alias("score"), "rank")
+    keyword = lines.where("pos % 2 = 1 OR pos % 4 = 0").select("query_id", "text", "type", (1.0 / (F.col("pos") + 2)).alias("score"), "rank")
     return vector, keyword
 
 
@@ -193,14 +210,35 @@ def weighted_fusion(spark, sf_dir):
 
 @query
 def rerank_boost(spark, sf_dir):
-    r = _lines(spark, sf_dir).where("pos < 8").select(F.col("doc_id").alias("query_id"), F.lit("list the options in that before").alias("query"), F.col("line").alias("text"), F.lit("Overview").alias("heading"), F.when(F.col("pos") % 2 == 0, "command").otherwise("flag").alias("type"), F.lit(0.5).alias("score"), F.col("pos").alias("rank"))
-    return retrieval.rerank(r).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("boost"), 6).alias("boost"), F.round(F.max("score"), 6).alias("best"))
+    """Every line as a result, with all that the reranker reads, told apart by place and document."""
+    pos, doc = F.col("pos"), F.col("doc_id")
+    some = lambda c, n, values: F.element_at(F.array(*(F.lit(v) for v in values)), (c % n + 1).cast("int"))
+    r = _lines(spark, sf_dir).select(
+        doc.alias("query_id"),
+        some(doc, 4, ("list the options in that before", "What is the default port", "main command for the build", "alias")).alias("query"),
+        F.col("line").alias("text"),
+        some(pos, 2, ("Overview", "Default port")).alias("heading"),
+        some(pos, 3, ("root", "Build errors", "")).alias("context"),
+        some(pos, 5, ("command", "flag", "command_list", "procedure", "text")).alias("type"),
+        some(pos, 3, ("note", "text", "config")).alias("subtype"),
+        some(pos, 4, ("commands_table", "text", "list", "code")).alias("content_role"),
+        some(pos, 2, ("npm run build", "")).alias("command_context"),
+        some(pos, 3, ("build", "serve", "")).alias("command"),
+        some(doc, 5, ("action", "definition", "explanation", "", None)).alias("intent"),
+        (doc % 3 == 0).alias("debug"),
+        (doc % 2 == 0).alias("priority"),
+        F.when(doc % 7 < 3, F.array(F.lit("command"), F.lit("port"))).when(doc % 7 < 5, F.array(F.lit("flag"))).alias("entities"),
+        F.when(doc % 3 == 1, F.array(F.lit(" Build "), F.lit("port"), F.lit(""))).alias("vocab_expansions"),
+        F.lit(0.5).alias("score"),
+        pos.alias("rank"),
+    )
+    return retrieval.rerank(r).select("query_id", F.round("boost", 6).alias("boost"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def retrieve_plan(spark, sf_dir):
     vector, keyword = _two_lists(spark, sf_dir)
-    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("which options of "), F.col("source"), F.lit(" run before")).alias("query"))
     return retrieval.retrieve(vector, keyword, asked).select("query_id", "text", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "fallback")
 
 
@@ -240,14 +278,14 @@ def enrich_query(spark, sf_dir):
 
 @query
 def context_blocks(spark, sf_dir):
-    r = _lines(spark, sf_dir).where("pos < 3").select(F.col("doc_id").alias("query_id"), F.lit("text").alias("type"), F.lit("Overview").alias("heading"), F.lit("root").alias("context"), (0.5 + F.col("pos") / 4).alias("score"), F.col("line").alias("text"), F.col("pos").alias("rank"))
+    r = _lines(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.lit("text").alias("type"), F.lit("Overview").alias("heading"), F.lit("root").alias("context"), (0.5 + F.col("pos") / 4).alias("score"), F.col("line").alias("text"), F.col("pos").alias("rank"))
     return conversation.context_blocks(r)
 
 
 @query
 def vector_validity(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 8)).when(F.col("vec_id") % 7 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("vector"), F.concat(F.lit("row "), F.col("vec_id").cast("string")).alias("text"))
-    return validate.valid_pairs(e.where("vec_id % 7 <> 1 OR vec_id > 10"), "vec_id").select("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.concat(F.lit("row "), F.col("vec_id").cast("string")).alias("text"))
+    return validate.valid_pairs(e, "vec_id").select("vec_id")
 
 
 @query
@@ -269,24 +307,25 @@ def subtype_counts(spark, sf_dir):
 
 
 def _markdown(spark, sf_dir):
-    """Documents as Markdown: headings, lists, tables, code and components of their own lines."""
+    """Documents as Markdown: every line whole, as paragraph, list, code, table or below a heading or component that it names; words, numbers and sentence marks only."""
     d = _docs(spark, sf_dir)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    plain = lambda x: F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}.!?:,]+", " "))
+    led = lambda x: F.when(x.rlike("^\\p{L}") & ~x.rlike("^(import|export) "), x).otherwise(F.concat(F.lit("Text "), x))
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), plain), lambda x: x != ""), led)
     made = F.transform(
         lines,
-        lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("\n## "), F.substring(x, 1, 30), F.lit("\n")))
-        .when(i % 7 == 2, F.concat(F.lit("\n- Run "), x, F.lit("\n- "), x))
-        .when(i % 7 == 3, F.concat(F.lit("\n```sh\nnpm run --flag "), F.substring(x, 1, 20), F.lit("\n```\n")))
-        .when(i % 7 == 4, F.concat(F.lit("\n| Name | Value |\n|---|---|\n| a | "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" |\n")))
-        .when(i % 7 == 5, F.concat(F.lit('\n<Card title="'), F.regexp_replace(F.substring(x, 1, 10), '["<>]', ""), F.lit('" href={a/b} />\n')))
+        lambda x, i: F.when(i % 7 == 0, F.concat(F.when(i % 14 == 0, "## ").otherwise("### "), F.trim(F.substring(x, 1, 30)), F.lit("\n\n"), x))
+        .when(i % 7 == 2, F.concat(F.lit("- Run "), x, F.lit("\n- "), x))
+        .when(i % 7 == 3, F.concat(F.lit("```sh\nnpm run --flag "), x, F.lit("\n```")))
+        .when(i % 7 == 4, F.concat(F.lit("| Name | Value |\n|---|---|\n| a | "), x, F.lit(" |")))
+        .when(i % 7 == 5, F.concat(F.lit('<Card title="'), F.trim(F.substring(x, 1, 10)), F.lit('" href={a/b} />\n\n'), x))
         .otherwise(x),
     )
-    return d.select("doc_id", F.array_join(made, "\n").alias("raw"))
+    return d.select("doc_id", F.array_join(made, "\n\n").alias("raw"))
 
 
 def _sections(spark, sf_dir):
-    d = _markdown(spark, sf_dir).select("doc_id", text.clean_markdown(mdx.normalize_mdx("raw")).alias("text"))
-    return sections.sections(elements.elements(d))
+    return sections.document_sections(_markdown(spark, sf_dir).select("doc_id", text.clean_markdown(mdx.normalize_mdx("raw")).alias("text")))
 
 
 @query
@@ -302,7 +341,7 @@ def element_counts(spark, sf_dir):
 
 @query
 def section_metadata(spark, sf_dir):
-    return _sections(spark, sf_dir).select("doc_id", "section_id", "heading", "context", "section_type", "content_role", "command_context", F.array_join("keywords", ",").alias("keywords"), F.md5("text").alias("digest"), "block_count")
+    return _sections(spark, sf_dir).select("doc_id", "section_id", "heading", "context", "section_type", "content_role", "command_context", F.array_join("keywords", ",").alias("keywords"), F.md5("text").alias("digest"), F.col("block_count").cast("long").alias("block_count"))
 
 
 @query
@@ -323,13 +362,13 @@ def orphan_code(spark, sf_dir):
 @query
 def chunk_documents(spark, sf_dir):
     v = validate.validate(chunking.chunks(_sections(spark, sf_dir)))
-    return v.select("doc_id", "seq", "chunk_id", "subtype", "tokens", "score", "rank", F.md5("text").alias("digest"))
+    return v.select("doc_id", "seq", "chunk_id", "subtype", F.col("tokens").cast("long").alias("tokens"), "score", F.col("rank").cast("long").alias("rank"), F.md5("text").alias("digest"))
 
 
 @query
 def chunk_overlap(spark, sf_dir):
     v = chunking.with_overlap(validate.validate(chunking.chunks(_sections(spark, sf_dir))))
-    return v.select("doc_id", "rank", "overlap", "tokens", F.md5("text").alias("digest"))
+    return v.select("doc_id", F.col("rank").cast("long").alias("rank"), "overlap", F.col("tokens").cast("long").alias("tokens"), F.md5("text").alias("digest"))
 
 
 def queries() -> dict[str, Query]:

@@ -13,8 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from loomdoc.functions.mdx import normalize_mdx
 from loomdoc.functions.text import clean_markdown
 from loomdoc.operators.chunking import chunks
-from loomdoc.operators.elements import elements
-from loomdoc.operators.sections import sections
+from loomdoc.operators.sections import document_sections
 from loomdoc.operators.validate import validate
 from loomdoc.sources.files import doc_type, file_name, normal_newlines
 
@@ -23,7 +22,7 @@ def chunked(docs: DataFrame, preserve_code: bool = False) -> DataFrame:
     """Valid chunks of documents (doc_id, doc_type, raw), all stages in one plan."""
     raw = F.when(F.col("doc_type") == "mdx", normalize_mdx("raw")).otherwise(F.col("raw"))
     text = raw if preserve_code else clean_markdown(raw)
-    return validate(chunks(sections(elements(docs.select("doc_id", text.alias("text"))))))
+    return validate(chunks(document_sections(docs.select("doc_id", text.alias("text")))))
 
 
 def ingest_stream(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.{md,mdx}") -> StreamingQuery:
