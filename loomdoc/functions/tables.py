@@ -97,11 +97,11 @@ def table_texts(table: Column) -> Column:
 
 def profile(table: Column) -> Column:
     cells = F.flatten(table["cells"])
-    filled = F.size(F.filter(cells, lambda c: collapse(c) != ""))
+    filled = F.size(F.filter(cells, lambda c: c.rlike(r"\S")))
     total = F.size(table["cells"]) * F.size(table["headers"])
     return F.struct(
         F.size(table["cells"]).alias("row_count"),
-        F.size(F.filter(table["cells"], lambda r: F.exists(r, lambda c: strip(c) != ""))).alias("non_empty_row_count"),
+        F.size(F.filter(table["cells"], lambda r: F.exists(r, lambda c: c.rlike(r"\S")))).alias("non_empty_row_count"),
         F.size(table["headers"]).alias("column_count"),
         filled.alias("filled_cell_count"),
         F.when(total > 0, F.round(filled / total, 4)).otherwise(0.0).alias("cell_density"),
