@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +11,14 @@ from loomdoc.functions.text import join_present, split_words, strip
 #: Turns that memory keeps (two messages each).
 MAX_TURNS = 4
 
-# Phrases by state; matched as substrings, in this order of states.
-DEBUG = ("error", "fail", "not working", "doesn't work", "doesnt work", "isn't working", "isnt working", "bug", "issue", "problem", "broken", "crash", "exception", "stack trace", "traceback", "fix", "solve", "unexpected", "wrong output", "incorrect", "not correct", "timeout", "hang", "stuck", "cannot", "can't", "unable to", "won't run", "won't start", "module not found", "undefined", "null", "none", "memory leak", "segmentation fault")
-FOLLOWUP = ("it", "that", "they", "this", "those", "these", "and", "also", "then", "next", "more", "again", "continue", "go on", "else", "what about", "how about", "what if", "how so", "like what", "such as", "for example", "example?", "so?", "now what", "what now", "no i mean", "i mean", "let me rephrase", "actually", "can you expand")
+# Phrases by state; matched as substrings, in this order of states. A
+# phrase that holds another one of its list is left out, since it matches nowhere else.
+DEBUG = ("error", "fail", "not working", "doesn't work", "doesnt work", "isn't working", "isnt working", "bug", "issue", "problem", "broken", "crash", "exception", "stack trace", "traceback", "fix", "solve", "unexpected", "wrong output", "incorrect", "not correct", "timeout", "hang", "stuck", "cannot", "can't", "unable to", "won't run", "won't start", "module not found", "undefined", "null", "none", "segmentation fault", "memory leak")
+FOLLOWUP = ("it", "that", "they", "this", "those", "these", "and", "also", "then", "next", "more", "again", "continue", "go on", "what about", "how about", "what if", "how so", "like what", "such as", "for example", "example?", "can you expand", "else", "so?", "now what", "what now", "i mean", "let me rephrase", "actually")
 EXPLANATORY = ("why", "how", "explain", "what is", "what are", "what does", "what happens", "what causes", "can you describe", "can you walk me through", "break down", "give overview", "in simple terms", "simplify", "working of", "mechanism of", "difference between", "compare", "what's the difference", "deep dive", "details about", "internals of", "architecture of")
 CONFIRMATIONS = ("are you sure", "you sure", "really", "sure?", "is that correct", "confirm that")
+# What stands for a history without messages.
+NO_HISTORY = "No prior conversation."
 # The refusal and the ways of writing it.
 REFUSAL = "Apologies, but I don’t have enough information to answer that."
 REFUSALS = ("apologies, but i don’t have enough information to answer that.", "apologies, but i don't have enough information to answer that.", "not enough information to answer that")
@@ -59,7 +63,30 @@ def formatted(messages: DataFrame, summaries: DataFrame | None = None, max_turns
     body = F.concat(F.lit("RECENT CONVERSATION:\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
     if summaries is None:
         return recent.select("conv_id", body.alias("history"))
-    return recent.join(summaries, "conv_id", "left").select("conv_id", F.concat(F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("LONG TERM CONTEXT:\n"), F.col("summary"), F.lit("\n\n"))).otherwise(""), body).alias("history"))
+    body = F.when(F.col("lines").isNull(), NO_HISTORY).otherwise(body)  # a conversation may be left with its summary alone
+    return recent.join(summaries, "conv_id", "full").select("conv_id", F.concat(F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("LONG TERM CONTEXT:\n"), F.col("summary"), F.lit("\n\n"))).otherwise(""), body).alias("history"))
+
+
+def summarised(messages: DataFrame, summaries: DataFrame, chat, max_turns: int = MAX_TURNS) -> DataFrame:
+    """(conv_id, summary) after the conversations' last messages: where an update is due, chat's new summary of the old one and the history; an error keeps the old one.
+
+    Only conversations whose last message is due are put to the model, in the
+    workers, in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def renewed(old: pd.Series, history: pd.Series) -> pd.Series:
+        def one(summary: str, text: str) -> str:
+            try:
+                return chat("Keep the memory of a conversation short: aims, tools and open work; no greetings.", f"Summary so far:\n{summary or 'None'}\n\nNew messages:\n{text}")
+            except Exception:  # noqa: BLE001  the model is another service
+                return summary
+
+        return pd.Series([one(a, b) for a, b in zip(old, history)])
+
+    due = summary_due(messages, max_turns).groupBy("conv_id").agg(F.max_by("due", "turn").alias("due"))
+    rows = due.join(formatted(messages, None, max_turns), "conv_id").join(summaries, "conv_id", "full").withColumn("summary", F.coalesce("summary", F.lit("")))
+    new = rows.where("due").select("conv_id", renewed("summary", "history").alias("summary"))
+    return new.unionByName(rows.where("NOT coalesce(due, false)").select("conv_id", "summary"))
 
 
 def enriched(messages: DataFrame, summaries: DataFrame | None = None, max_turns: int = MAX_TURNS) -> DataFrame:
@@ -119,8 +146,6 @@ def answer(questions: DataFrame, chat, rewrite: bool = True) -> DataFrame:
     chat(system, user) is called in the workers, in Arrow batches; an error of a
     call leaves what came before it: the query, then an apology, then the draft.
     """
-    import pandas as pd
-
     def ask(system: str, user: str, otherwise: str) -> str:
         try:
             return chat(system, user) or otherwise

@@ -248,7 +248,8 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = 60) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "text")))
 
 
-# Word lists and weights of the reranker.
+# Word lists and weights of the reranker. Where a list is matched by
+# substring, an entry that holds another one is left out, since it matches nowhere else.
 CORE = ("dev", "build", "start")
 BEHAVIOUR = ("alias", "default", "without", "before", "after", "warning", "recommended", "optional", "required", "good", "know", "what happens")
 LISTING = ("list", "available", "all commands", "all options", "provide commands")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions import tables as T
-from loomdoc.functions.text import clean_inline, collapse, keywords, slug, split_words, strip
+from loomdoc.functions.text import clean_inline, collapse, keywords, let, slug, split_words, strip
 from loomdoc.operators.elements import sectioned
 
 
@@ -126,11 +126,24 @@ def structure_profile(sections: DataFrame) -> DataFrame:
     return counts.withColumn("role", role)
 
 
-def list_clean(items: Column) -> Column:
-    """Items without outer white space, empty ones out."""
-    return F.filter(F.transform(items, lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
+def list_clean(items: Column, least: int = 1) -> Column:
+    """Items without outer white space, of at least `least` characters."""
+    return F.filter(F.transform(items, lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: F.length(x) >= least)
 
 
 def list_ordered(items: Column) -> Column:
     """Whether at least half of the items, and one, begin with a digit and a stop or bracket."""
-    return F.size(F.filter(items, lambda x: x.rlike(r"(?s)^\s*\p{Nd}[.)].") )) >= F.greatest(F.lit(1), F.floor(F.size(items) / 2))
+    votes = F.size(F.filter(items, lambda x: x.rlike(r"(?s)^\s*\p{Nd}[.)].")))
+    return votes >= F.greatest(F.lit(1), F.floor(F.size(items) / 2))
+
+
+def parse_list(items: Column) -> Column:
+    """struct<items, ordered, item_count> of raw items: distinct ones of two characters or more; null without any."""
+    block = lambda c: F.when(F.size(c) > 0, F.struct(c.alias("items"), list_ordered(c).alias("ordered"), F.size(c).alias("item_count")))
+    return let(F.array_distinct(list_clean(items, 2)), block)
+
+
+def enrich_list(items: Column) -> Column:
+    """struct<items, ordered> of a raw list block; a list without items stays, unordered."""
+    block = lambda c: F.struct(c.alias("items"), ((F.size(c) > 0) & list_ordered(c)).alias("ordered"))
+    return let(list_clean(F.coalesce(items, F.array().cast("array<string>"))), block)

@@ -184,7 +184,7 @@ an AS (SELECT ck.*, heading, CASE WHEN subtype <> 'code_block' THEN nullif(above
 ab AS (SELECT *, CASE WHEN anchor IS NULL THEN text ELSE anchor || chr(10) || chr(10) || CASE WHEN starts_with(lower(text), lower(anchor)) THEN {_STRIP("substr(text, length(anchor) + 1)")} ELSE text END END AS body FROM an),
 ac AS (SELECT * RENAME (text AS bare, body AS text) FROM ab),
 lm AS (SELECT *, {_SENTENCES} AS ss, (subtype = 'list_group' AND {_TOKENS('text')} > 400) OR (subtype = 'text_split' AND {_TOKENS('text')} > CASE d WHEN 'high' THEN 400 ELSE 600 END) AS large FROM ac),
-lp AS (SELECT doc_id, g, i, o, part, heading, subtype, d, CASE WHEN NOT large THEN [text] WHEN anchor IS NOT NULL THEN [anchor || chr(10) || chr(10), text] WHEN subtype = 'list_group' AND len(list_filter(ss, lambda x: length(x) // 4 > 400)) = 0 THEN ss ELSE [text] END AS ps FROM lm),
+lp AS (SELECT doc_id, g, i, o, part, heading, subtype, d, large, CASE WHEN NOT large THEN [text] WHEN anchor IS NOT NULL THEN [anchor || chr(10) || chr(10), text] WHEN subtype = 'list_group' AND len(list_filter(ss, lambda x: length(x) // 4 > 400)) = 0 THEN ss ELSE [text] END AS ps FROM lm),
 lq AS (SELECT * EXCLUDE (ps), generate_subscripts(ps, 1) AS again, unnest(ps) AS text FROM lp),
 sq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, i, o, part, again) - 1 AS seq, {_TOKENS('text')} AS tokens, md5(doc_id || '|' || heading || '||' || substr(text, 1, 120)) AS chunk_id FROM lq),
 vs AS (SELECT * EXCLUDE (text), {_STRIP('text')} AS text FROM sq WHERE tokens >= CASE WHEN subtype IN ('code_block', 'table_row') THEN 10 ELSE 20 END AND tokens <= 800),
@@ -282,4 +282,23 @@ o7 AS (SELECT *, CASE WHEN len({_WORDS('t')}) < 6 OR t LIKE '%:' OR starts_with(
 o8 AS (SELECT *, prev IS NOT NULL AND subtype NOT IN ('code_block', 'table_row') AND psub NOT IN ('code_block', 'table_row') AND tokens >= 80 AND ov <> '' AND NOT contains(lower(substr(own, 1, length(ov) + 20)), lower(ov)) AS overlap FROM o7),
 o9 AS (SELECT doc_id, rank, coalesce(overlap, false) AS overlap, CASE WHEN overlap THEN ov || chr(10) || chr(10) || own ELSE own END AS text FROM o8)
 SELECT doc_id, rank, overlap, ({_TOKENS('text')})::BIGINT AS tokens, md5(text) AS digest FROM o9""",
+    "chunk_points": f"""WITH {_CHUNKED}, c AS (SELECT vr.*, 'docs/' || doc_id || '.md' AS src, CASE WHEN large THEN again - 1 WHEN subtype = 'text_split' THEN part ELSE 0 END AS sp FROM vr), h AS (SELECT *, sha1(src || '|' || heading || '||' || subtype || '|' || CASE WHEN sp <> 0 THEN sp::VARCHAR ELSE '' END || '|' || substr(text, 1, 200)) AS h FROM c)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, doc_id || '.md' AS file_name, tokens::BIGINT AS tokens, subtype, md5(text) AS digest FROM h""",
+    "chunk_passages": f"WITH {_CHUNKED} SELECT doc_id, seq, md5(heading || CASE WHEN coalesce(above, '') <> '' THEN chr(10) || above ELSE '' END || chr(10) || text) AS digest FROM vr JOIN (SELECT doc_id, g, above FROM sx) USING (doc_id, g)",
+    "section_profile": f"""WITH {_BLOCKS}, tx AS (SELECT doc_id, g, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY i, sub), '') AS text, count(*) FILTER (kind = 'paragraph') AS paragraphs, count(DISTINCT i) FILTER (kind = 'list') AS lists, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'code') AS codes FROM e0 GROUP BY doc_id, g)
+SELECT doc_id, section_id, paragraphs, lists, tables, codes, len({_WORDS('text')}) AS words, CASE WHEN (lists > 0)::INT + (tables > 0)::INT + (codes > 0)::INT > 1 THEN 'mixed' WHEN tables > 0 THEN 'table' WHEN codes > 0 THEN 'code' WHEN lists > 0 THEN 'list' ELSE 'text' END AS role FROM tx JOIN sx USING (doc_id, g)""",
+    "document_texts": f"WITH {_BLOCKS} SELECT doc_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY i, sub)) AS digest FROM e0 GROUP BY doc_id",
+    "list_blocks": rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents), a AS (SELECT doc_id, i, {_STRIP("CASE WHEN doc_id % 2 = 0 THEN (i % 9 + 1)::VARCHAR || '. ' || x ELSE x END")} AS x FROM l),
+d AS (SELECT DISTINCT doc_id, x FROM a WHERE length(x) >= 2), v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(x, '^\s*\p{{Nd}}[.)](.|\n)')) AS votes FROM d GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) FILTER (x <> '') AS n, count(*) FILTER (regexp_matches(x, '^\s*\p{{Nd}}[.)](.|\n)')) AS votes FROM a GROUP BY doc_id)
+SELECT t.doc_id, coalesce(v.n, 0) AS items, coalesce(v.votes >= greatest(1, v.n // 2), false) AS ordered, coalesce(e.n, 0) AS kept, coalesce(e.n > 0 AND e.votes >= greatest(1, e.n // 2), false) AS kept_ordered FROM documents t LEFT JOIN v USING (doc_id) LEFT JOIN e USING (doc_id)""",
+    "text_helpers": rf"""WITH p AS (SELECT doc_id, source, coalesce(text, '') AS text, {_STRIP("replace(coalesce(text, ''), chr(10), ' ')")} AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END) AS preview, CASE WHEN trim(coalesce(source, '')) = '' THEN 'Guide' WHEN contains(lower(trim(source)), 'guide') THEN trim(source) ELSE trim(source) || ' - Guide' END AS prefix, ceil(length(text) / 2400)::BIGINT AS pieces,
+ md5(coalesce(array_to_string(list_transform(range(0, ceil(length(text) / 2400)::BIGINT), lambda i: substr(text, i * 2400 + 1, 2400)), '|'), '')) AS cut, CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'mdx' ELSE 'unknown' END AS doc_type, source || CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.mdx' ELSE '.txt' END AS file_name FROM p""",
 }
+SQL["conversation_prompts"] = f"""WITH st AS ({SQL['conversation_state']}), hi AS ({SQL['format_history']}), la AS ({SQL['last_answer']}), qu AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS query FROM conversations GROUP BY conv_id),
+j AS (SELECT *, nullif(CASE state WHEN 'followup' THEN 'Continue: ' WHEN 'debug' THEN 'Help fix: ' WHEN 'explanatory' THEN 'Explain: ' ELSE '' END || query, '') AS asked FROM st JOIN hi USING (conv_id) JOIN la USING (conv_id) JOIN qu USING (conv_id))
+SELECT conv_id, md5('Answer from the sources only. ' || CASE state WHEN 'debug' THEN 'Look for the cause and say how to mend it.' WHEN 'followup' THEN 'Go on from the answer before.' WHEN 'explanatory' THEN 'Explain step by step.' ELSE 'Answer directly.' END
+ || chr(10) || chr(10) || 'History:' || chr(10) || history || CASE WHEN coalesce(answer, '') <> '' THEN chr(10) || chr(10) || 'Sources:' || chr(10) || answer ELSE '' END || coalesce(chr(10) || chr(10) || 'Question:' || chr(10) || asked, '')) AS prompt,
+ len({_WORDS("coalesce(query, '')")}) < 6 AS rewrite, trim(lower(query)) IN ('are you sure', 'you sure', 'really', 'sure?', 'is that correct', 'confirm that') AS confirms,
+ CASE length(query) % 4 WHEN 0 THEN 'That is outside what these documents cover.' WHEN 1 THEN 'The question is not clear; please say more.' WHEN 2 THEN 'This is an assistant for the indexed documents.' END AS guard FROM j"""

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions import mdx, signals, tables, text
-from loomdoc.operators import blocks, chunking, conversation, elements, reports, retrieval, sections, validate
+from loomdoc.operators import blocks, chunking, conversation, elements, reports, retrieval, sections, serving, validate
 from loomdoc.plans.oracles import SQL
 from loomdoc.session import table
+from loomdoc.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -369,6 +370,59 @@ def chunk_overlap(spark, sf_dir):
     return v.select("doc_id", F.col("rank").cast("long").alias("rank"), "overlap", F.col("tokens").cast("long").alias("tokens"), F.md5("text").alias("digest"))
 
 
+def _chunks(spark, sf_dir):
+    return validate.validate(chunking.chunks(_sections(spark, sf_dir)))
+
+
+@query
+def chunk_points(spark, sf_dir):
+    p = serving.chunk_points(_chunks(spark, sf_dir).withColumn("source", F.concat(F.lit("docs/"), "source", F.lit(".md"))))
+    return p.select("id", "file_name", F.col("tokens").cast("long").alias("tokens"), "subtype", F.md5("text").alias("digest"))
+
+
+@query
+def chunk_passages(spark, sf_dir):
+    c = serving.passages(_chunks(spark, sf_dir))
+    return c.select("doc_id", "seq", F.md5("passage").alias("digest"))
+
+
+@query
+def section_profile(spark, sf_dir):
+    p = sections.structure_profile(_sections(spark, sf_dir))
+    return p.select("doc_id", "section_id", *(F.col(c).cast("long").alias(c) for c in ("paragraphs", "lists", "tables", "codes", "words")), "role")
+
+
+@query
+def document_texts(spark, sf_dir):
+    return sections.document_texts(_sections(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def list_blocks(spark, sf_dir):
+    """Documents' lines as raw list items, every second document's numbered."""
+    items = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.col("doc_id") % 2 == 0, F.concat((i % 9 + 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    df = _docs(spark, sf_dir).select("doc_id", sections.parse_list(items).alias("p"), sections.enrich_list(items).alias("e"))
+    return df.select("doc_id", F.coalesce(F.col("p.item_count"), F.lit(0)).cast("long").alias("items"), F.coalesce("p.ordered", F.lit(False)).alias("ordered"), F.size("e.items").cast("long").alias("kept"), F.col("e.ordered").alias("kept_ordered"))
+
+
+@query
+def text_helpers(spark, sf_dir):
+    path = F.concat(F.lit("a/b/"), "source", F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".mdx").otherwise(".txt"))
+    cut = text.hard_cut("text", 2400)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.preview("text")).alias("preview"), text.prefix(F.col("source"), F.lit("Guide")).alias("prefix"), F.size(cut).cast("long").alias("pieces"), F.md5(F.array_join(cut, "|")).alias("cut"), files.doc_type(path).alias("doc_type"), files.file_name(path).alias("file_name"))
+
+
+@query
+def conversation_prompts(spark, sf_dir):
+    """The prompt of each conversation: state, history, a context and the last question."""
+    m = _messages(spark, sf_dir)
+    both = conversation.states(m).join(conversation.formatted(m), "conv_id").join(conversation.last_answers(m), "conv_id")
+    asked = m.groupBy("conv_id").agg(F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("query"))
+    df = both.join(asked, "conv_id")
+    made = conversation.prompt(F.col("state"), F.col("history"), F.coalesce("answer", F.lit("")), F.lit(""), conversation.state_prefix(F.col("state"), F.col("query")))
+    return df.select("conv_id", F.md5(made).alias("prompt"), conversation.needs_rewrite(F.col("query")).alias("rewrite"), conversation.is_confirmation(F.col("query")).alias("confirms"), conversation.guardrail(F.when(F.length("query") % 4 == 0, "irrelevant").when(F.length("query") % 4 == 1, "ambiguous").when(F.length("query") % 4 == 2, "meta")).alias("guard"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

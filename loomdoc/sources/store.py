@@ -22,6 +22,9 @@ class PointStore:
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
         if self._current() is None:
             self.reset()
+        held = self.read().select(F.size("vector").alias("n")).where(F.col("n") != dimension).head()
+        if held:
+            raise ValueError(f"the table holds vectors of {held.n} numbers, not {dimension}; reset it or take another path")
 
     def _file(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
