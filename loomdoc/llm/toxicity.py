@@ -2,7 +2,7 @@
 
 Learning: over distinct labelled texts, log-odds with a Dirichlet prior of every
 word and word beginning between toxic and other documents; those that are at
-least Z standard errors from nought make the model. A token scores its most
+least Z standard errors from nought, on either side, make the model. A token scores its most
 certain feature's log-odds, any other token -DRIFT. Scoring: one linear scan
 finds all maximal-scoring segments of a text; lambda and K of the extreme-value
 distribution of segment scores come from clean documents; the segments whose
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, id_col: str =
     def odds(n: str, size: int):
         return F.log((F.col(n) + prior) / (F.greatest(F.lit(size) - F.col(n), F.lit(0)) + PRIOR - prior + 1e-9))
 
-    scored = counted.select("feature", (odds("n1", toxic) - odds("n0", clean)).alias("w"), F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)).alias("se")).withColumn("z", F.col("w") / F.col("se")).where((F.col("z") >= Z) & (F.col("w") > 0.5))
+    scored = counted.select("feature", (odds("n1", toxic) - odds("n0", clean)).alias("w"), F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)).alias("se")).withColumn("z", F.col("w") / F.col("se")).where((F.abs("z") >= Z) & (F.abs("w") > 0.5))
     model = Model({r.feature: (r.w, r.z) for r in scored.select("feature", "w", "z").collect()})
     if not model.weights:
         return Model(share=toxic / both)
