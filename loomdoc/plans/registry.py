@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import mdx, signals, tables, text
 from loomdoc.operators import blocks, chunking, conversation, elements, reports, retrieval, sections, serving, validate
 from loomdoc.plans.oracles import SQL
-from loomdoc.session import table
+from loomdoc.session import spread, table
 from loomdoc.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
