@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 
 from loomdoc.session import written
 
+#: A key with more rows than this and than one in HOT of all rows is hot, so there are fewer than HOT hot keys.
+FEW, HOT = 1_000, 1_000
+
+
+def beside(rows: DataFrame, totals: DataFrame, key: str, all_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined with totals, which has one row for each key and its count of rows as n.
+
+    The totals of hot keys are broadcast (fewer than HOT rows), so a hot key's rows
+    stay where they are; Spark's own split of large partitions doesn't reach a join
+    with an aggregate. Null keys meet nothing (with how="left" they stay).
+    """
+    most = max(FEW, all_rows // HOT)
+    hot = F.broadcast(totals.where(F.col("n") > most))
+    cold = totals.where(F.col("n") <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how)).drop("n")
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; component is its smallest node.
 
     Each round points every larger neighbour of a node at the node's smallest
     neighbour, then does so for smaller ones, until nothing changes: rounds grow
-    with the logarithm of a component's diameter. Hubs meet in joins alone,
-    whose large partitions Spark splits; each round is a written table.
+    with the logarithm of a component's diameter. A hub's rows never meet in one
+    task; each round is a written table.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "links")
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = beside(both, low, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        pairs = beside(large, low, "u", 2 * state[0])
         new = written(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         old, state = state, _state(new)
         e = new

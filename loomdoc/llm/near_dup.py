@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.bloom import SEGMENT_BITS, Filter, build
 from loomdoc.llm.common import arrow_batches, map_rows
-from loomdoc.llm.components import components
+from loomdoc.llm.components import beside, components
 from loomdoc.llm.hashing import WordHashes, lowered_words, mix, runs, seeded
 from loomdoc.session import written
 
@@ -116,7 +116,8 @@ def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     A Bloom filter of their ids goes ahead of the join, so other texts are not
     shuffled; a filter too full for many ids lets more texts through, no fewer.
     """
-    segments = min(FILTER_MOST // SEGMENT_BITS, -(-clusters.count() * FILTER_BITS // SEGMENT_BITS) or 1)
+    members = clusters.count()
+    segments = min(FILTER_MOST // SEGMENT_BITS, -(-members * FILTER_BITS // SEGMENT_BITS) or 1)
     bits = build(clusters.selectExpr("xxhash64(node) AS key", "1 AS level"), segments)
     sent = docs.sparkSession.sparkContext.broadcast(Filter(bits))
 
@@ -127,9 +128,9 @@ def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sifted = docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", "t").mapInArrow(sift, f"doc_id {id_type}, t binary")
-    large = clusters.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).alias("parts"))
+    large = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component", "n", F.ceil(F.col("n") / BLOCK).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("node", F.lit(13)), "parts"), F.lit(0)).cast("int")
-    dealt = clusters.join(large, "component", "left").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), part.alias("part"))
+    dealt = beside(clusters, large, "component", members, "left").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), part.alias("part"))
     return sifted.join(dealt, "doc_id").select("doc_id", "t", "cluster", "part")
 
 
@@ -237,8 +238,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     sk = written(sketched(docs, k, size, rows, id_col, text_col), "sketches")
     reps = written(sk.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     spread = sk.where("n_shingles > 0").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "low")
-    stars = spread.join(buckets, "band").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    buckets = spread.groupBy("band").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = beside(spread, buckets, "band", sk.where("n_shingles > 0").count() * (size // rows)).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     clusters = written(components(stars), "clusters")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
