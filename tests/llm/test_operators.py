@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomdoc.llm import bpe, components, decontaminate, licences, line_dedup, lm, near_dup, quality, sharding, toxicity
 
@@ -115,37 +114,6 @@ def test_components(spark):
     assert {tuple(r) for r in components.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(components, "FEW", 5)
-    monkeypatch.setattr(components, "HOT", 20)
-    rng = random.Random(5)
-    links = [(1000, n) for n in range(1001, 1200)] + [(n, 5000) for n in range(1300, 1500)] + [(1100, 1400)]
-    links += [(a, a + 1) for a in range(2000, 2040)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
-    links += [(a, 3000) for a in range(3001, 3005)]
-    top = {n: n for p in links for n in p if p[0] != p[1]}
-
-    def find(n):
-        while top[n] != n:
-            n = top[n]
-        return n
-
-    for a, b in links:
-        if a != b:
-            low, high = sorted((find(a), find(b)))
-            top[high] = low
-    e = spark.createDataFrame(links, "a long, b long")
-    assert sorted(tuple(r) for r in components.components(e).collect()) == sorted((n, find(n)) for n in top)
-
-
-def test_beside(spark):
-    rows = spark.createDataFrame([(k, v) for k in (1, 2) for v in range(2000 if k == 1 else 3)] + [(3, 0), (None, 7)], "u long, v long")
-    totals = rows.groupBy("u").agg(F.max("v").alias("m"), F.count(F.lit(1)).alias("n")).where("u < 3")
-    inner = {(r.u, r.m): r.c for r in components.beside(rows, totals, "u", 2005).groupBy("u", "m").agg(F.count(F.lit(1)).alias("c")).collect()}
-    assert inner == {(1, 1999): 2000, (2, 2): 3}
-    left = {(r.u, r.m): r.c for r in components.beside(rows, totals, "u", 2005, "left").groupBy("u", "m").agg(F.count(F.lit(1)).alias("c")).collect()}
-    assert left == {**inner, (3, None): 1, (None, None): 1}
-
-
 def hf():
     import public_tokenizers as public
     from tokenizers import Tokenizer
