@@ -13,8 +13,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every larger neighbour of a node at the node's smallest
     neighbour, then does so for smaller ones, until nothing changes: rounds grow
-    with the logarithm of a component's diameter. Hubs meet in joins alone,
-    whose large partitions Spark splits; each round is a written table.
+    with the logarithm of a component's diameter; each round is a written table.
+    A hub's links meet in one task: its smallest neighbour comes from an
+    aggregate, and Spark's split of large partitions doesn't reach such a join.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "links")

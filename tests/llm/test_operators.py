@@ -114,6 +114,26 @@ def test_components(spark):
     assert {tuple(r) for r in components.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
 
 
+def test_components_with_hubs(spark):
+    rng = random.Random(5)
+    links = [(1000, n) for n in range(1001, 1200)] + [(n, 5000) for n in range(1300, 1500)] + [(1100, 1400)]
+    links += [(a, a + 1) for a in range(2000, 2040)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    links += [(a, 3000) for a in range(3001, 3005)]
+    top = {n: n for p in links for n in p if p[0] != p[1]}
+
+    def find(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+    e = spark.createDataFrame(links, "a long, b long")
+    assert sorted(tuple(r) for r in components.components(e).collect()) == sorted((n, find(n)) for n in top)
+
+
 def hf():
     import public_tokenizers as public
     from tokenizers import Tokenizer
