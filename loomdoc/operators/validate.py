@@ -34,7 +34,7 @@ def first_of_equal(chunks: DataFrame, order: str = "seq") -> DataFrame:
 
 def score(tokens: Column, subtype: Column, types: Column, text: Column) -> Column:
     d = density(types)
-    return (
+    exact = (
         F.when(tokens.between(80, 400), 2.0).when(tokens > 400, 1.0).otherwise(0.5)
         + F.when(subtype.isin(*ATOMIC), 2.5).when(subtype == "procedure_group", 2.0).when(subtype == "text", 1.0).otherwise(0.0)
         + F.when(d == "high", 2.0).when(d == "medium", 1.2).otherwise(0.5)
@@ -42,6 +42,7 @@ def score(tokens: Column, subtype: Column, types: Column, text: Column) -> Colum
         + F.when(F.contains(text, F.lit(":")), 0.5).otherwise(0.0)
         - F.when(F.size(split_words(text)) < 6, 1.5).otherwise(0.0)
     )
+    return F.round(exact, 6)  # sums of the same tenths are equal
 
 
 def validate(chunks: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomdoc.functions.text import tokens
 from loomdoc.operators import blocks, chunking, elements, reports, retrieval, sections, validate
 from loomdoc.plans import registry
 from loomdoc.sources.store import PointStore
@@ -44,6 +45,25 @@ def test_chunks_hold_their_invariants(spark, sf):
     assert v.count() > 0
 
 
+def test_chunks_over_their_limit(spark):
+    """A heading that rounding packs with its list stays apart; packed sentences stay together; a list without heading goes by sentences."""
+    head, bare, packed, listed = "h" * 30, "w " * 785 + "an", "ab! " * 299 + "ab!" + " x" * 250, "An item. " * 200
+    rows = [("a", 0, f"{head}\n\n{bare}", "list_group", ["list"], [head]), ("a", 1, "next", "list_item", ["list"], [head]), ("b", 0, packed, "text_split", ["table"], []), ("c", 0, listed.strip(), "list_group", ["list"], [])]
+    df = spark.createDataFrame(rows, "doc_id string, seq long, text string, subtype string, content_types array<string>, heading_path array<string>")
+    cut = chunking.enforce_limit(df.withColumn("split_part", F.lit(None).cast("int")).withColumn("tokens", tokens("text"))).orderBy("doc_id", "seq").collect()
+    assert [(r.seq, r.text, r.split_part) for r in cut if r.doc_id == "a"] == [(0, f"{head}\n\n", 0), (1, f"{head}\n\n{bare}", 1), (2, "next", None)]
+    assert [(r.text, r.split_part) for r in cut if r.doc_id == "b"] == [(packed, 0)]
+    assert [r.text for r in cut if r.doc_id == "c"] == ["An item."] * 200
+
+
+def test_equal_scores_rank_in_order(spark):
+    """Sums of the same tenths in another order are one score."""
+    five, six = " ".join(["w" * 70] * 5), "some six words of a list " * 4
+    rows = [("d", 0, six, 25), ("d", 1, five, 88)]
+    df = spark.createDataFrame(rows, "doc_id string, seq long, text string, tokens int").select("*", F.lit("list_item").alias("subtype"), F.array(F.lit("list")).alias("content_types"))
+    assert [(r.seq, r.score) for r in validate.validate(df).orderBy("rank").collect()] == [(0, 1.7), (1, 1.7)]
+
+
 def test_score_and_sizes(spark):
     t = "word " * 60 + ": end of it"
     r = spark.createDataFrame([(t,)], "x string").select(validate.score(F.lit(100), F.lit("code_block"), F.array(F.lit("code")), F.col("x")).alias("s"), *(validate.right_size(F.lit(n), F.lit(k)).alias(f"{k}{n}") for n, k in ((15, "text_atom"), (15, "table_row"), (801, "text"))))
