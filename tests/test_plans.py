@@ -127,6 +127,23 @@ def test_query_equals_its_sql(spark, sf, name):
     assert a.equals(b)
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A document with packed sentences and a list just above their limits."""
+    path = f"{tmp_path_factory.mktemp('odd')}"
+    lines = ["Anchor of thirty letters in all and more words", "one", "two", "three", "erer. " * 700, "five", "six", "Second heading of the text here", "eight", "ab " * 523 + "an", "ten"]
+    spark.createDataFrame([(1, "\n".join(lines), "web")], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["chunk_points"])
+def test_chunks_at_their_limit_equal_the_sql(spark, odd, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
+    a, b = registry.queries()[name](spark, odd).toPandas(), con.sql(registry.oracle_sql()[name]).df()
+    assert len(a) > 0 and sorted(a.astype(str)[sorted(a)].values.tolist()) == sorted(b.astype(str)[sorted(a)].values.tolist())
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
