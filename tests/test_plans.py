@@ -136,7 +136,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["chunk_points"])
+@pytest.mark.parametrize("name", ["chunk_points", "chunk_passages"])
 def test_chunks_at_their_limit_equal_the_sql(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
