@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def encode(docs: DataFrame, vocabulary: Callable[[], Bpe] = public_bpe, id_col:
             for doc_id, text in zip(*columns):
                 ids = bpe.encode(text or "")
                 hashes = [hashlib.sha256(x.encode()).hexdigest() for x in (bpe.joined(ids), bpe.decode(ids))]
-                yield (doc_id, len(ids), *hashes, *([ids] if with_ids else []))
+                yield (doc_id, len(ids), *hashes, *([np.array(ids, np.int32)] if with_ids else []))  # a tenth of a list's memory
 
         return step
 

@@ -21,6 +21,9 @@ CARRIED = "in."
 #: Bytes of an Arrow batch, and the setting as Spark has it where nobody chose one.
 BATCH_SIZE, SPARKS_SIZE = "8m", "67108864b"
 
+#: About as many bytes of a batch are rows and columns in Python at once.
+PART_BYTES = 1 << 20
+
 
 def remainder(id_col: Column | str, by: int) -> Column:
     """crc32(id as text) mod by; -1 for a null id, which so is never held out."""
@@ -96,11 +99,14 @@ def map_rows(df: DataFrame, schema: str | StructType, start: Callable[[], Callab
         step = start()
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
+                many = max(1, min(block, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, many):
+                    part = batch.slice(at, many)
                     rows = list(step([c.to_pylist() for c in part.columns]))
                     columns = list(zip(*rows)) if rows else [[] for _ in out_schema]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+                    made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+                    part = rows = columns = None  # not beside the next part's
+                    yield made
         finally:
             step = None
             release_memory()

@@ -115,6 +115,8 @@ def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     A Bloom filter of their ids goes ahead of the join, so other texts are not
     shuffled; a filter too full for many ids lets more texts through, no fewer.
+    The join is never a broadcast one: the sets follow in Python, and in one
+    stage with the sift a task would hold two workers, which stay afterwards.
     """
     segments = min(FILTER_MOST // SEGMENT_BITS, -(-clusters.count() * FILTER_BITS // SEGMENT_BITS) or 1)
     bits = build(clusters.selectExpr("xxhash64(node) AS key", "1 AS level"), segments)
@@ -130,7 +132,7 @@ def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     large = clusters.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("node", F.lit(13)), "parts"), F.lit(0)).cast("int")
     dealt = clusters.join(large, "component", "left").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), part.alias("part"))
-    return sifted.join(dealt, "doc_id").select("doc_id", "t", "cluster", "part")
+    return sifted.join(dealt.hint("merge"), "doc_id").select("doc_id", "t", "cluster", "part")
 
 
 def _sets(docs: DataFrame, k: int, id_type: str) -> DataFrame:

@@ -108,3 +108,32 @@ def test_empty_tables(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_sets_are_made_in_a_stage_of_their_own(spark):
+    """However few the candidates, no stage holds two Python operators, whose workers would stay beside those of later stages."""
+    from loomdoc.llm import near_dup
+
+    docs = spark.createDataFrame([(i, bytearray(b"a b c d e f")) for i in range(9)], "doc_id long, t binary")
+    clusters = spark.createDataFrame([(i, 0) for i in range(4)], "node long, component long")
+    found = near_dup._candidates(docs, clusters)
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 3]
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [doc_id" in final, final
+
+
+def test_long_rows_come_in_small_parts(spark):
+    """A part of a batch holds few rows where they are long, and all rows come once."""
+    from loomdoc.llm.common import PART_BYTES, map_rows
+
+    def start():
+        def step(columns):
+            held = sum(map(len, columns[1]))
+            for i, t in zip(*columns):
+                yield i, held
+
+        return step
+
+    docs = spark.range(40, numPartitions=1).selectExpr("id", "repeat('x', 200000) AS t")
+    got = map_rows(docs, "id long, held long", start).collect()
+    assert sorted(r.id for r in got) == list(range(40)) and max(r.held for r in got) <= 2 * PART_BYTES
