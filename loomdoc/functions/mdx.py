@@ -103,7 +103,7 @@ def normalize_mdx(c: Column | str) -> Column:
     parts = F.split(t, FENCE, -1)
     held = F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(fences), F.concat(p, _hold(i))).otherwise(p)), "")
     held = F.regexp_replace(F.regexp_replace(held, "(?s)<!--.*?-->", ""), r"(?s)\{/\*.*?\*/\}", "")
-    held = F.regexp_replace(held, r"(?m)^\s*import\s+.*$", "")
+    held = F.regexp_replace(held, r"(?m)^\s*import[^\S\n]+.*$", "")
     held = expressions(components(drop_exports(held)))
     numbered = F.transform(fences, lambda f, i: F.struct(_hold(i).alias("k"), f.alias("f")))
     back = F.aggregate(numbered, held, lambda a, x: F.replace(a, x["k"], x["f"]))

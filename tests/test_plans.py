@@ -161,6 +161,17 @@ def test_parts_that_begin_with_their_heading_equal_the_sql(spark, repeated):
     assert len(a) > 4 and sorted(a.astype(str)[sorted(a)].values.tolist()) == sorted(b.astype(str)[sorted(a)].values.tolist())
 
 
+@pytest.mark.parametrize("name", ["chunk_points", "chunk_passages"])
+def test_a_lone_import_keeps_what_follows(spark, tmp_path, name):
+    """An import of one line goes; the word alone on its line takes no later line with it."""
+    lines = ["import", "import all the words of this line and many more until it is long enough to be kept. " * 2, "three", "four", "five", "six", "seven", "import", "import", "The list item after a lone import, long enough for a chunk of its own and still short. " * 2]
+    spark.createDataFrame([(1, "\n".join(lines), "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    a, b = registry.queries()[name](spark, f"{tmp_path}").toPandas(), con.sql(registry.oracle_sql()[name]).df()
+    assert len(b) > 2 and sorted(a.astype(str)[sorted(a)].values.tolist()) == sorted(b.astype(str)[sorted(a)].values.tolist())
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
